@@ -14,14 +14,13 @@ def page_key(url: Column) -> Column:
     Reserved characters stay escaped and ``+`` stays a plus sign. A malformed
     escape leaves the raw text.
     """
-    text = F.trim(url)
-    bare = F.regexp_replace(text, r"^(?i:https?)://[^/?#\\]*", "")
-    path = F.regexp_extract(bare, r"^([^?#]*)", 1)
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    key = F.when(F.length(rooted) > 1, F.regexp_replace(rooted, "/+$", "")).otherwise(rooted)
+    # each step refers to the one before it once, which keeps plans small
+    bare = F.regexp_replace(F.trim(url), r"^(?i:https?)://[^/?#\\]*", "")
+    rooted = F.regexp_replace(F.regexp_extract(bare, r"^([^?#]*)", 1), "^/?", "/")
+    key = F.regexp_replace(rooted, "(?<=.)/+$", "")
     kept = F.regexp_replace(key, r"%(?i:(3B|2F|3F|3A|40|26|3D|2B|24|2C|23))", r"%25$1")
     decoded = F.try_url_decode(F.replace(kept, F.lit("+"), F.lit("%2B")))
-    return F.when(url != "", F.when(key.contains("%"), F.coalesce(decoded, key)).otherwise(key))
+    return F.when(url != "", F.coalesce(decoded, key))
 
 
 def market(page: Column, prefixes: Sequence[str] = ()) -> Column:

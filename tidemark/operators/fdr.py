@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
+from ..session import cut_lineage
 
 
 def _needed_rank(p: Column, n: Column, q: float) -> Column:
@@ -55,10 +56,10 @@ def fdr_keep(tests: DataFrame, p: str = "p_value", q: float = 0.1, family: Seque
     """Add a boolean: the test survives Benjamini-Hochberg at rate ``q`` within its family.
 
     Equal p-values are kept or dropped together, so no tie-break is needed.
-    The tests are aggregated rows and read twice, so they are persisted: the
-    facts behind them are scanned once.
+    The tests are aggregated rows and read several times, so they are written
+    once: the facts behind them are scanned once.
     """
-    tests = tests.persist()
+    tests = cut_lineage(tests)
     cutoff = fdr_cutoff(tests, p, q, family)
     if family:
         limited = lookup_join(tests, cutoff, list(family))
