@@ -80,6 +80,8 @@ def join_mappings(facts: DataFrame, mappings: DataFrame) -> DataFrame:
     """
     columns = ["metric_id", "aggregation", "field", "series_field", "numerator", "denominator", "weight", "scale"]
     wide = facts.where(F.col("kind") == "gsc_rows").join(mappings.select("source_id", *columns), "source_id")
+    if "series" not in facts.columns:
+        return wide
     names = F.array_distinct(F.array_compact(F.array("series_field", "numerator", "denominator", "weight")))
     by_series = mappings.select("source_id", *columns, F.explode(names).alias("series"))
     tall = facts.where(F.col("kind") == "timeseries").join(by_series, ["source_id", "series"])
