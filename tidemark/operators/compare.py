@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import days_inclusive
 from ..functions.numbers import round_half_up
 from ..functions.stats import poisson_rate_z, two_proportion_z, welch
-from .metrics import PARTS, metric_value, period_values
+from .metrics import PARTS, denominator, last_value, metric_value, missing_values, numerator, sample
 
 
 def label_windows(rows: DataFrame, before: tuple[str, str], after: tuple[str, str]) -> DataFrame:
@@ -26,48 +26,52 @@ def label_windows(rows: DataFrame, before: tuple[str, str], after: tuple[str, st
     )
 
 
-def _side(label: str, column: Column) -> Column:
-    return F.max(F.when(F.col("label") == label, column))
-
-
 def compare_periods(parts: DataFrame, keys: Sequence[str], mapping: Sequence[str] = ("aggregation", "scale", "kind")) -> DataFrame:
     """One row per key from labelled daily parts.
 
     ``parts`` has keys, mapping columns, ``label`` (before or after),
     ``before_days``, ``after_days``, ``overdispersion``, ``date`` and the parts.
+    They are read once and shuffled once by key: a window numbers the after
+    days, and one aggregation gives both sides and both halves. The middle
+    day opens the second half.
     """
     carried = [*keys, *mapping, "before_days", "after_days", "overdispersion"]
-    values = period_values(parts, [*carried, "label"])
-    daily = parts.where(F.col("date").isNotNull()).withColumn("_v", metric_value()).groupBy(*carried, "label").agg(
-        F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.var_samp("_v").alias("var")
-    )
-    fields = ("value", "sample", "numerator", "denominator", "row_count", "distinct_dates", "missing_values")
-    joined = values.join(daily, [*carried, "label"], "left")
-    wide = joined.groupBy(*carried).agg(
-        *[_side(side, F.col(f)).alias(f"{side}_{f}") for side in ("before", "after") for f in (*fields, "n", "mean", "var")]
-    )
-    halves = persistence_parts(parts, carried)
-    return finish_comparison(wide.join(halves, carried, "left"), keys)
-
-
-def persistence_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Values of both halves of the after window; the middle day opens the second half."""
-    dated = parts.where((F.col("label") == "after") & F.col("date").isNotNull())
-    by_day = Window.partitionBy(*keys)
-    ranked = dated.withColumns(
-        {"_r": F.row_number().over(by_day.orderBy("date")), "_n": F.count(F.lit(1)).over(by_day)}
-    ).withColumn("_half", F.when(F.col("_r") <= F.floor(F.col("_n") / 2), 1).otherwise(2))
-    latest = F.max(F.when(F.col("last").isNotNull(), F.struct("date", F.col("last")))).alias("_latest")
-    halves = ranked.groupBy(*keys, "_half").agg(
-        *[F.sum(name).alias(name) for name in PARTS], F.count(F.lit(1)).alias("_days"), latest
-    ).withColumn("last", F.col("_latest.last"))
-    value = metric_value()
-    per = F.when(F.col("aggregation") == "sum", F.coalesce(value, F.lit(0.0)) / F.col("_days")).otherwise(value)
-    return halves.withColumn("_v", per).groupBy(*keys).agg(
-        F.max(F.when(F.col("_half") == 1, F.col("_v"))).alias("first_half"),
-        F.max(F.when(F.col("_half") == 2, F.col("_v"))).alias("second_half"),
-        F.sum("_days").alias("dated_days"),
+    after_day = F.when(F.col("label") == "after", F.col("date"))
+    by_key = Window.partitionBy(*carried)
+    seen = F.count(after_day).over(by_key.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.count(after_day).over(by_key)
+    half = F.when(after_day.isNotNull(), F.when(seen <= F.floor(total / 2), 1).otherwise(2))
+    daily = F.when(F.col("date").isNotNull(), metric_value())
+    numbered = parts.withColumns({"_half": half, "_day": daily})
+    picks = {
+        "before_": F.col("label") == "before", "after_": F.col("label") == "after", "h1_": F.col("_half") == 1, "h2_": F.col("_half") == 2,
+    }
+    summed = numbered.groupBy(*carried).agg(
+        *[F.sum(F.when(where, F.col(name))).alias(side + name) for side, where in picks.items() for name in PARTS],
+        *[last_value(where).alias(side + "last") for side, where in picks.items()],
+        *[F.count(F.when(where, F.col("date"))).alias(side + "distinct_dates") for side, where in picks.items()],
+        *[
+            agg(F.when(picks[side], F.col("_day"))).alias(side + name)
+            for side in ("before_", "after_")
+            for name, agg in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))
+        ],
     )
+    sides = [
+        value.alias(side + name)
+        for side in ("before_", "after_")
+        for name, value in (
+            ("value", metric_value(side)), ("sample", sample(side)), ("numerator", numerator(side)), ("denominator", denominator(side)),
+            ("row_count", F.col(side + "rows")), ("distinct_dates", F.col(side + "distinct_dates")), ("missing_values", missing_values(side)),
+            ("n", F.col(side + "n")), ("mean", F.col(side + "mean")), ("var", F.col(side + "var")),
+        )
+    ]
+    halves = [
+        F.when(F.col("aggregation") == "sum", F.coalesce(metric_value(h), F.lit(0.0)) / F.nullif(F.col(h + "distinct_dates"), F.lit(0)))
+        .otherwise(metric_value(h))
+        .alias(name)
+        for h, name in (("h1_", "first_half"), ("h2_", "second_half"))
+    ]
+    return finish_comparison(summed.select(*carried, *sides, *halves, F.col("after_distinct_dates").alias("dated_days")), keys)
 
 
 def significance(aggregation: Column) -> tuple[Column, Column]:

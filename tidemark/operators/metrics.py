@@ -3,7 +3,8 @@
 A metric's value over any period is a sum of per-day parts, so the facts are
 reduced to one row per key, day and segment in a single map-side combined
 aggregation. Values, daily series, halves and quality counts come from those
-parts and never from the facts again.
+parts and never from the facts again. All parts are plain numbers, so the
+aggregation stays hash-based. Of several values on the last day the greatest counts.
 """
 
 from __future__ import annotations
@@ -128,7 +129,6 @@ def metric_parts(rows: DataFrame, keys: Sequence[str], segment: str | None = Non
     raw = F.col("value") if "value" in rows.columns else F.lit(None).cast("double")
     both, weighed = top.isNotNull() & bottom.isNotNull(), val.isNotNull() & wt.isNotNull()
     in_ratio = (series == F.col("numerator")) | (series == F.col("denominator"))
-    order = F.col("snapshot_id") if "snapshot_id" in rows.columns else F.lit("")
     return cells.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(~tall | (series == F.col("series_field"))).alias("val_rows"),
@@ -148,7 +148,7 @@ def metric_parts(rows: DataFrame, keys: Sequence[str], segment: str | None = Non
         F.sum(F.when(weighed, val * wt)).alias("vw_sum"),
         F.sum(F.when(weighed, wt)).alias("vw_weight"),
         *_context(rows.columns),
-        F.max(F.when(val.isNotNull(), F.struct(order.alias("o"), val.alias("v")))).alias("last"),
+        F.max(val).alias("last"),
     )
 
 
@@ -170,48 +170,56 @@ def daily_parts(parts: DataFrame, keys: Sequence[str], segment: str = "segment")
     return add_parts(paired.withColumns(changed), [*keys, "date"])
 
 
-def metric_value() -> Column:
+def _named(prefix: str):
+    return lambda name: F.col(prefix + name)
+
+
+def _is_tall() -> Column:
+    return F.col("kind") == "timeseries"
+
+
+def metric_value(prefix: str = "") -> Column:
     """Value of the parts under the row's aggregation; unknown stays NULL, never 0."""
-    kind, tall = F.col("aggregation"), F.col("kind") == "timeseries"
-    top = F.when(tall, F.coalesce("top_sum", F.lit(0.0))).otherwise(F.col("pair_top"))
-    bottom = F.when(tall, F.col("bottom_sum")).otherwise(F.col("pair_bottom"))
+    kind, c = F.col("aggregation"), _named(prefix)
+    top = F.when(_is_tall(), F.coalesce(c("top_sum"), F.lit(0.0))).otherwise(c("pair_top"))
+    bottom = F.when(_is_tall(), c("bottom_sum")).otherwise(c("pair_bottom"))
     return (
-        F.when(kind == "sum", F.when(F.col("val_n") > 0, F.col("val_sum")))
+        F.when(kind == "sum", F.when(c("val_n") > 0, c("val_sum")))
         .when(kind == "ratio_of_sums", F.when(bottom > 0, top / bottom * F.col("scale")))
-        .when(kind == "weighted_mean", F.when(F.col("vw_weight") > 0, F.col("vw_sum") / F.col("vw_weight")))
-        .when(kind == "mean", F.when(F.col("val_n") > 0, F.col("val_sum") / F.col("val_n")))
-        .when(kind == "last", F.col("last.v"))
+        .when(kind == "weighted_mean", F.when(c("vw_weight") > 0, c("vw_sum") / c("vw_weight")))
+        .when(kind == "mean", F.when(c("val_n") > 0, c("val_sum") / c("val_n")))
+        .when(kind == "last", c("last"))
     )
 
 
-def numerator() -> Column:
-    tall = F.col("kind") == "timeseries"
-    return F.coalesce(F.when(tall, F.col("top_sum")).otherwise(F.col("pair_top")), F.lit(0.0))
+def numerator(prefix: str = "") -> Column:
+    c = _named(prefix)
+    return F.coalesce(F.when(_is_tall(), c("top_sum")).otherwise(c("pair_top")), F.lit(0.0))
 
 
-def denominator() -> Column:
-    tall = F.col("kind") == "timeseries"
-    return F.coalesce(F.when(tall, F.col("bottom_sum")).otherwise(F.col("pair_bottom")), F.lit(0.0))
+def denominator(prefix: str = "") -> Column:
+    c = _named(prefix)
+    return F.coalesce(F.when(_is_tall(), c("bottom_sum")).otherwise(c("pair_bottom")), F.lit(0.0))
 
 
-def sample() -> Column:
+def sample(prefix: str = "") -> Column:
     """Volume behind the value: the sum itself, the denominator, the weight, or the number of cells."""
-    kind = F.col("aggregation")
+    kind, c = F.col("aggregation"), _named(prefix)
     return (
-        F.when(kind == "sum", F.coalesce("val_sum", F.lit(0.0)))
-        .when(kind == "ratio_of_sums", denominator())
-        .when(kind == "weighted_mean", F.coalesce("vw_weight", F.lit(0.0)))
-        .otherwise(F.col("val_n").cast("double"))
+        F.when(kind == "sum", F.coalesce(c("val_sum"), F.lit(0.0)))
+        .when(kind == "ratio_of_sums", denominator(prefix))
+        .when(kind == "weighted_mean", F.coalesce(c("vw_weight"), F.lit(0.0)))
+        .otherwise(c("val_n").cast("double"))
     )
 
 
-def missing_values() -> Column:
+def missing_values(prefix: str = "") -> Column:
     """Cells skipped because they are unknown."""
-    kind, tall = F.col("aggregation"), F.col("kind") == "timeseries"
+    kind, c = F.col("aggregation"), _named(prefix)
     return (
-        F.when(kind == "ratio_of_sums", F.when(tall, F.col("ratio_missing")).otherwise(F.col("rows") - F.col("pair_n")))
-        .when(kind == "weighted_mean", F.col("rows") - F.col("vw_n"))
-        .otherwise(F.col("val_rows") - F.col("val_n"))
+        F.when(kind == "ratio_of_sums", F.when(_is_tall(), c("ratio_missing")).otherwise(c("rows") - c("pair_n")))
+        .when(kind == "weighted_mean", c("rows") - c("vw_n"))
+        .otherwise(c("val_rows") - c("val_n"))
     )
 
 
@@ -228,13 +236,18 @@ def daily_series(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return parts.where(F.col("date").isNotNull()).select(*keys, "date", metric_value().alias("value")).where("value IS NOT NULL")
 
 
+def last_value(where: Column | None = None) -> Column:
+    """Value of the latest day that has one."""
+    held = F.col("last").isNotNull() if where is None else where & F.col("last").isNotNull()
+    return F.max_by("last", F.when(held, F.col("date")))
+
+
 def period_values(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Value, sample and counts per key over all its days. ``last`` is the value of the latest day."""
-    latest = F.max(F.when(F.col("last").isNotNull(), F.struct("date", F.col("last")))).alias("_latest")
     summed = parts.groupBy(*keys).agg(
-        *[F.sum(name).alias(name) for name in PARTS], F.count("date").alias("distinct_dates"), latest
+        *[F.sum(name).alias(name) for name in PARTS], F.count("date").alias("distinct_dates"), last_value().alias("last")
     )
-    return summed.withColumn("last", F.col("_latest.last")).select(
+    return summed.select(
         *keys,
         metric_value().alias("value"),
         sample().alias("sample"),
