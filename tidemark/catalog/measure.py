@@ -512,3 +512,60 @@ def causal_levels(t):
         .withColumns({"design": F.lit("before_after"), "design_ceiling": F.lit(None).cast("string")})
     )
     return judged.select("request_id", "evidence_strength", "causal_confidence")
+
+
+_EVIDENCE = _compare_sql("search_rows", "country", "clicks", "impressions").rsplit("\nSELECT", 1)
+
+
+@query(
+    "measured_evidence",
+    views=("search_rows",),
+    # deltas are withheld where more than half of a window's days are missing
+    sql=f"""WITH {_EVIDENCE[0]}, x AS (SELECT{_EVIDENCE[1]}),
+ok AS (SELECT country, count(DISTINCT date) FILTER (WHERE {_B}) >= {BEFORE_DAYS} * 0.5 AND count(DISTINCT date) FILTER (WHERE NOT {_B}) >= {AFTER_DAYS} * 0.5 AS enough FROM search_rows GROUP BY 1)
+SELECT country AS request_id, before_value, after_value, CASE WHEN enough THEN delta_abs END AS delta_abs, CASE WHEN enough THEN delta_pct END AS delta_pct, statistic, persistent FROM x JOIN ok USING (country)""",
+)
+def measured_evidence(t):
+    """The whole measurement job: one click-rate request per country over all search rows."""
+    from .. import schemas
+    from ..plans.comparison import Evidence, analyze
+
+    spark = t.spark
+    none = lambda kind: F.lit(None).cast(kind)
+    facts = t("search_rows").withColumns(
+        {
+            "snapshot_id": F.lit("pull-1"), "source_id": F.lit("gsc"), "kind": F.lit("gsc_rows"), "device": none("string"), "segment": none("string"),
+            "series": none("string"), "value": none("double"),
+        }
+    )
+    headers = facts.groupBy("snapshot_id", "source_id", "kind").agg(F.min("date").alias("period_start"), F.max("date").alias("period_end")).withColumns(
+        {
+            "adapter_version": F.lit(1), "property": none("string"), "retrieved_at": F.lit("2001-11-05 06:00:00").cast("timestamp"),
+            "dimensions": F.array(*[F.lit(d) for d in ("date", "query", "page", "country")]), "filters": none("map<string,string>"),
+            "headline_safe": F.lit(False), "warnings": F.array().cast("array<string>"),
+        }
+    )
+    requests = t("search_rows").select("country").distinct().select(
+        F.col("country").alias("request_id"), F.lit("organic_ctr").alias("metric_id"), F.lit("gsc").alias("source_id"),
+        *[F.lit(d).cast("date").alias(n) for n, d in zip(("before_start", "before_end", "after_start", "after_end"), (*BEFORE, *AFTER))],
+        F.create_map(F.lit("country"), F.array("country")).alias("scope"), none("array<string>").alias("change_ids"), none("string").alias("experiment_id"),
+        F.lit("before_after").alias("design"), F.lit("none").alias("control"), none("array<string>").alias("control_pages"), none("array<string>").alias("context_refs"),
+    )
+
+    def row(schema, **values):
+        return spark.createDataFrame([tuple(values.get(n) for n in schemas.column_names(schema))], schema)
+
+    dictionary = row(
+        schemas.METRICS, metric_id="organic_ctr", status="active", aggregation="ratio_of_sums", numerator="clicks", denominator="impressions", scale=100.0,
+        canonical_source="gsc", min_sample=500.0,
+    )
+    sources = row(schemas.SOURCES, source_id="gsc", kind="gsc_rows", status="configured", timezone="UTC").withColumns(
+        {"stale_after_hours": F.lit(9999.0), "data_through": F.lit(AFTER[1]).cast("date"), "last_success_at": F.lit("2001-11-05 06:00:00").cast("timestamp")}
+    )
+    registry = _changes(t).select(
+        "change_id", "type", "deploy_status", F.col("live_date").cast("timestamp").alias("live_at"), "pages", "experiment_id", "confirmed", "supersedes"
+    )
+    job = Evidence(snapshots=headers, facts=facts, metrics=dictionary, sources=sources, changes=registry)
+    now = F.lit("2001-11-05 08:00:00").cast("timestamp")
+    found = analyze(job, requests, now, scope_sets=(("country",),), with_control=False, seasonality=False)["evidence"]
+    return found.select("request_id", "before_value", "after_value", "delta_abs", "delta_pct", "statistic", "persistent")

@@ -318,3 +318,36 @@ def rank_changes(t):
 @query("rank_summary", views=("search_rows",), sql=_RANKS + "SELECT movement, count(*) AS n FROM m GROUP BY movement")
 def rank_summary(t):
     return s.movement_summary(_rank_pairs(t))
+
+
+@query(
+    "recorded_findings",
+    views=("detail_rows",),
+    sql=f"""WITH {_PAGE_MOVES}, {_DECAY}, r AS (SELECT 'content_decay' AS type, 'decay:' || page AS dedupe_key, estimated_click_loss_28d AS gain FROM decay
+UNION ALL SELECT 'page_' || movement, 'move:' || page, abs(coalesce(clicks_delta, 0)) FROM moves),
+k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY gain DESC NULLS LAST, dedupe_key) AS rank FROM r) SELECT type, dedupe_key, gain, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""",
+)
+def recorded_findings(t):
+    from ..operators.ledger import cap_findings
+
+    moves = _page_moves(t)
+    decay = s.content_decay(moves, before_days=BEFORE_DAYS)
+    moved = moves.select(
+        F.concat(F.lit("page_"), "movement").alias("type"), F.concat(F.lit("move:"), "page").alias("dedupe_key"), F.abs(F.coalesce("clicks_delta", F.lit(0.0))).alias("gain")
+    )
+    fallen = decay.select(F.lit("content_decay").alias("type"), F.concat(F.lit("decay:"), "page").alias("dedupe_key"), F.col("estimated_click_loss_28d").alias("gain"))
+    return cap_findings(fallen.unionByName(moved))
+
+
+@query(
+    "audit_summary",
+    views=("detail_rows",),
+    sql=f"""WITH {_FIT}, {_NOW}, e AS (SELECT *, {rnd(_EXPECT, 2)} AS expected_ctr_pct FROM now_pairs WHERE impressions >= 100 AND avg_position IS NOT NULL)
+SELECT 'striking_distance' AS type, count(*) AS n FROM e WHERE avg_position BETWEEN 4 AND 15 UNION ALL SELECT 'pages_far', count(*) FROM e WHERE avg_position > 15 AND avg_position <= 30""",
+)
+def audit_summary(t):
+    from ..plans.search_audit import search_audit
+
+    found = search_audit(t("detail_rows"), BEFORE, AFTER)["striking_distance"]
+    name = F.when(F.col("band") == "positions_4_15", "striking_distance").otherwise("pages_far")
+    return found.groupBy(name.alias("type")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..settings import AGGREGATIONS, CAUSAL_SCALE, QUALITY_SCALE, STRENGTH_SCALE, SearchSettings, DEFAULT_SETTINGS
+from ..functions.numbers import round_half_up
+from ..settings import (
+    AGGREGATIONS, CAUSAL_SCALE, DEFAULT_SETTINGS, QUALITY_SCALE, SEARCH_CHANGE_TYPES, STRENGTH_SCALE, SearchSettings,
+)
 
 OPEN_STATES = ("open", "awaiting_review", "handed_off")
 
@@ -198,3 +201,45 @@ def prune_plan(snapshots: DataFrame, referenced: DataFrame, now: Column, older_t
     old = snapshots.where(described < F.date_sub(F.to_date(now), older_than_days))
     free = old.join(newest, "snapshot_id", "left_anti").join(referenced.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
     return free.select("snapshot_id", "source_id", "kind", "period_start", "period_end", "row_count", "rows_hash", F.to_date(now).alias("pruned_on"))
+
+
+def baseline_rows(measured: DataFrame, now: Column) -> DataFrame:
+    """Baselines to append: the value is withheld when its data is insufficient.
+
+    ``measured`` has metric_id, source_id, segment, period_start, period_end, value, sample and data_quality.
+    """
+    key = record_key(*[F.col(c) for c in ("metric_id", "source_id", "segment", "period_start", "period_end")], now)
+    withheld = F.when(F.col("data_quality") != "insufficient", round_half_up(F.col("value")))
+    return measured.select(
+        key.alias("baseline_id"), "metric_id", "source_id", "segment", "period_start", "period_end", withheld.alias("value"),
+        F.col("sample").alias("sample_size"), "data_quality", now.alias("recorded_at"),
+    )
+
+
+def evidence_rows(evidence: DataFrame, changes: DataFrame, selected: DataFrame, now: Column) -> DataFrame:
+    """Evidence to append: one row per comparison with its linked changes and contributing pulls."""
+    linked = changes.where("relation = 'linked'").groupBy("request_id").agg(F.array_sort(F.collect_set("change_id")).alias("change_ids"))
+    pulls = selected.select("request_id", "snapshot_id").distinct().groupBy("request_id").agg(
+        F.array_sort(F.collect_set("snapshot_id")).alias("artifacts")
+    )
+    none = F.array().cast("array<string>")
+    joined = evidence.join(linked, "request_id", "left").join(pulls, "request_id", "left")
+    key = record_key(F.col("request_id"), F.col("metric_id"), F.col("source_id"), F.col("after_end"), now)
+    return joined.withColumns(
+        {"evidence_id": key, "change_ids": F.coalesce("change_ids", none), "artifacts": F.coalesce("artifacts", none), "recorded_at": now}
+    )
+
+
+def next_action(checks: DataFrame) -> DataFrame:
+    """The most pressing of the maintenance checks: access first, then anomalies, stale data, changes, baselines."""
+    order = (
+        F.when(F.col("action") == "check access", 1).when(F.col("area") == "anomaly", 2).when(F.col("area") == "source", 3)
+        .when(F.col("area") == "change", 4).otherwise(5)
+    )
+    open_checks = checks.where("status = 'attention'").withColumn("_o", order)
+    return open_checks.orderBy("_o", "area", "subject").limit(1).drop("_o")
+
+
+def recent_changes(changes: DataFrame, since: Column, types: Sequence[str] = SEARCH_CHANGE_TYPES) -> DataFrame:
+    """Search-related changes that went live since a day."""
+    return changes.where(F.col("type").isin(*types) & (F.to_date("live_at") >= since))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -355,7 +356,7 @@ def period_movement(
         F.count_if(in_before).alias("b_rows"),
         F.count_if(in_after).alias("a_rows"),
     )
-    return movement_from_sums(labelled, dimensions, _length(before), _length(after))
+    return movement_from_sums(labelled, dimensions, window_days(before), window_days(after))
 
 
 def snapshot_movement(
@@ -380,9 +381,8 @@ def snapshot_movement(
     return movement_from_sums(labelled, dimensions, before_days, after_days)
 
 
-def _length(window: tuple[str, str]) -> int:
-    from datetime import date
-
+def window_days(window: tuple[str, str]) -> int:
+    """Days of a fixed window, both ends counted."""
     return (date.fromisoformat(window[1]) - date.fromisoformat(window[0])).days + 1
 
 
@@ -621,7 +621,7 @@ def overview_trend(rows: DataFrame, before: tuple[str, str], after: tuple[str, s
             for name in ("clicks", "impressions")
         ]
     )
-    b, a = F.col("before_total") / F.lit(_length(before)), F.col("after_total") / F.lit(_length(after))
+    b, a = F.col("before_total") / F.lit(window_days(before)), F.col("after_total") / F.lit(window_days(after))
     note = F.when(b > 0, "compared").when(a > 0, "new").otherwise("no volume")
     return sums.select(F.inline(lines)).select(
         "measure",

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import page_key
-from ..plans.skew import lookup_join
 from ..session import cut_lineage
 
 REQUEST = ("request_id", "label")
@@ -242,8 +241,25 @@ def resolve_chains(records: DataFrame, key: str, supersedes: str = "supersedes",
     return ends.select(key, F.coalesce("to_id", key).alias("current_id"))
 
 
+def superseded_slices(pairs: DataFrame, slices: Sequence[str], order: str, pull: str) -> DataFrame:
+    """Slice and pull combinations that a later pull of the same slice replaces."""
+    owners = pairs.groupBy(*[F.col(c).alias(f"_{c}") for c in slices]).agg(F.max(F.struct(order, pull)).alias("_owner"))
+    same = F.lit(True)
+    for name in slices:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return pairs.join(owners, same).where(F.col(pull) != F.col(f"_owner.{pull}")).select(*slices, pull)
+
+
 def latest_wins(facts: DataFrame, slices: Sequence[str], order: str, pull: str) -> DataFrame:
-    """Keep the rows of the last pull per slice, whatever share of the rows a slice has."""
-    owners = facts.groupBy(*slices).agg(F.max(F.struct(order, pull)).alias("_owner"), F.count(F.lit(1)).alias("_n"))
-    found = lookup_join(facts, owners, slices, weight="_n", how="inner")
-    return found.where(F.col(pull) == F.col(f"_owner.{pull}")).select(*facts.columns)
+    """Keep the rows of the last pull per slice.
+
+    Only the replaced slice and pull pairs are looked up. They are few next to
+    the facts, so Spark broadcasts them when they are small enough, and the
+    facts then stay where they are; a large list joins with skew handling on.
+    """
+    pairs = facts.select(*slices, order, pull).distinct()
+    replaced = superseded_slices(pairs, slices, order, pull).withColumnsRenamed({c: f"_{c}" for c in (*slices, pull)})
+    same = F.col(pull) == F.col(f"_{pull}")
+    for name in slices:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    return facts.join(replaced, same, "left_anti")
