@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from tidemark.session import get_session
 
-    session = get_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+    session = get_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2", "spark.driver.memory": "6g",
+    })
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
