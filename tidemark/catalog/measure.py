@@ -255,8 +255,6 @@ def latest_two(t):
 
 # ---- control groups and seasonality ---------------------------------------
 
-_TREATED = "part-%3"
-
 
 def _page_days(t):
     return t("detail_rows").withColumn("source_id", F.lit("gsc"))
