@@ -93,7 +93,7 @@ def _node(level: int, seed: int, last: bool):
     """Rounds one node of the tree; the open entry keeps copies null unless this is the root."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("units", "ascending")])
+        rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending")])  # long documents are settled by the short ones after them
         sizes, p = rows["size"].to_numpy() * rows["units"].to_numpy(), rows["p"].to_numpy()
         name = f"{seed}|{level}|{key[1].as_py()}|{key[0].as_py()!r}"
         draws = np.random.Generator(np.random.PCG64(zlib.crc32(name.encode()))).random(len(p) + 1)
