@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ensure_checkpoint_dir
+
 #: White space throughout: space and the five control characters from tab to carriage return.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
@@ -121,3 +124,12 @@ def run_hashes(items: np.ndarray, length: int, base: int) -> np.ndarray:
 
 def batch(columns: dict[str, object], types: Sequence[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[name], pa.Array) else pa.array(c, kind) for name, kind in types], names=[name for name, _ in types])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again: compressed, and safe when executors go."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -61,3 +61,10 @@ def mix(spark, folder):
 
     rows = run(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query("op1_substring_dedup")
+def substring_dedup(spark, folder):
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents"))
