@@ -68,3 +68,10 @@ def substring_dedup(spark, folder):
     from .substrings import remove_repeats
 
     return remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op8_context_tree_scores")
+def context_tree_scores(spark, folder):
+    from .contexts import context_tree_scores as run
+
+    return run(table(spark, folder, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
