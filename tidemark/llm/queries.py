@@ -75,3 +75,11 @@ def context_tree_scores(spark, folder):
     from .contexts import context_tree_scores as run
 
     return run(table(spark, folder, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op3_toxicity")
+def toxicity(spark, folder):
+    from .toxicity import score
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return score(docs, table(spark, folder, "labels")).select("row.doc_id", "held_out", "score", "predicted")

@@ -84,11 +84,10 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The window hashes at each shared seed of a document, split into parts where the seed is frequent."""
-    names = ["seed", "part", "doc_id", "print", "start", "which", "windows"]
     for rows in batches:
         data, offsets = text_bytes(rows.column("text"))
         out: list[tuple] = []
-        for i in range(rows.num_rows):
+        for i in np.flatnonzero(rows.column("runs").is_valid().to_numpy(zero_copy_only=False)).tolist():
             hashes = _window_hashes(data[offsets[i] : offsets[i + 1]])
             doc, mark = rows.column("doc_id")[i].as_py(), rows.column("print")[i].as_py()
             runs = rows.column("runs")[i].values
@@ -103,10 +102,16 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for p in np.unique(part).tolist():
                     mine = np.flatnonzero(part == p)
                     out.append((seed, p, doc, mark, start, int((1 << mine).sum()), own[mine].tobytes()))
-            if len(out) > 20_000 or (out and i == rows.num_rows - 1):
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            if len(out) > 20_000:
+                yield _packed(out)
                 out = []
+        if out:
+            yield _packed(out)
+
+
+def _packed(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["seed", "part", "doc_id", "print", "start", "which", "windows"])
 
 
 def _expand(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -193,7 +198,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seeds = stored(source.where("doc_id is not null").mapInArrow(_find_seeds, "seed long, doc_id long, print long, start int, count int"))
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("many")).where("least < most").select("seed", "many")
     runs = seeds.join(shared, "seed").groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "count", "seed", "many")).alias("runs"))
-    windows = source.join(runs, ["doc_id", "print"]).select("doc_id", "print", "text", "runs").mapInArrow(_extend, "seed long, part int, doc_id long, print long, start int, which int, windows binary")
+    # a left join here as below, so that both read one exchange of the texts
+    windows = source.join(runs, ["doc_id", "print"], "left").select("doc_id", "print", "text", "runs").mapInArrow(_extend, "seed long, part int, doc_id long, print long, start int, which int, windows binary")
     marks = windows.repartition("seed", "part").sortWithinPartitions("seed", "part", "doc_id").mapInArrow(_compare, "doc_id long, print long, start int, mask int")
     marks = marks.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", kept string" if texts else "")
