@@ -10,11 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, mixing
+from tidemark.llm import bpe, exact, mixing, toxicity
 from tidemark.llm.queries import tokenizer_path
 from tidemark.session import ensure_checkpoint_dir
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, trained on the labelled ones, does not call toxic."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the longest, then the smallest id."""
     return exact.drop_copies(docs)
@@ -30,7 +35,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path()).drop("decoded")
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix_sources", mix_sources), ("tokens", tokens)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", exact_dedup), ("mix_sources", mix_sources), ("tokens", tokens)]
 
 #: Training, rounding and encoding have no SQL form.
 ORACLE_SQL = None

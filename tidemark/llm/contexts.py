@@ -35,7 +35,7 @@ HELD_OUT = (7, 2)
 #: Rows of a lookup table that are broadcast at most: 16 bytes each.
 BROADCAST_ROWS = 8_000_000
 #: Entries that a task holds before it merges them.
-HELD_ENTRIES = 4_000_000
+HELD_ENTRIES = 1_500_000
 _END = 0xFF  # never a byte of UTF-8: ends a text and fills the context before it
 
 
@@ -104,7 +104,7 @@ def _count(buckets: int):
         for rows in batches:
             data, offsets = text_bytes(rows.column("text"))
             held_out = rows.column("held_out").to_numpy(zero_copy_only=False)
-            for a, b in chunks(offsets, 4 * CHUNK_BYTES):
+            for a, b in chunks(offsets, CHUNK_BYTES):
                 part, bounds, train = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a], ~held_out[a:b]
                 runs, owner = byte_runs(part, bounds)
                 known = train[owner]
@@ -352,7 +352,7 @@ def _fresh(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _small_chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    for a, b in chunks(offsets, 4 * CHUNK_BYTES):
+    for a, b in chunks(offsets, CHUNK_BYTES):
         for first in range(a, b, 0xFFFF):
             yield first, min(first + 0xFFFF, b)
 

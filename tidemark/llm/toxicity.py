@@ -2,11 +2,10 @@
 
 Two zstandard dictionaries are trained on labelled text. The toxic one holds the
 strings that toxic documents share and ordinary ones lack, most frequent last;
-the ordinary one, of the same size, the most frequent ordinary words. A text's
-distinct words are cut into windows of ``WINDOW_WORDS``, and each window is
-compressed with either dictionary; its gain is the ordinary length less the
-toxic length. Both dictionaries end in one fixed string that also starts every
-window, so that a compressed block's fixed cost is always paid and single
+the ordinary one, of the same size, ordinary words like those, and frequent ones. Each
+distinct word of a text is a window, compressed with either dictionary; its gain
+is the ordinary length less the toxic length. Both dictionaries end in one fixed string that also stands around
+every window, so that a compressed block's fixed cost is always paid and single
 matches show. A logistic curve over the text's gains, fitted on labelled rows
 that did not train the dictionaries, is the calibrated threshold.
 
@@ -30,44 +29,64 @@ from .common import CHUNK_BYTES, chunks, text_bytes
 
 FOLDS = 5
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 6000, 20_000
-WINDOW_WORDS = 2
-DICTIONARY_BYTES = 2048
+DICTIONARY_BYTES = 4096
 GRAM = 5
-CLEAR_GAIN = 3
-#: Starts every window and ends both dictionaries; any string that texts do not hold would do.
+#: Least gains and most bytes above the shortest toxic length that make a window count.
+CLEAR = ((2, 2), (3, 3), (4, 3), (5, 4), (6, 8))
+#: Stands around every window and ends both dictionaries; any string that texts do not hold would do.
 BALLAST = b"~^|<{[@#0Qz9}_]>=Xk7%;+Vj6&$`Wq5*:Yp4Jb3Kx2ZgH1"
 
 
-def toxic_strings(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Strings of toxic texts whose byte 5-grams are at least 20 times as frequent there, most frequent first."""
+def _window(string: bytes) -> bytes:
+    return BALLAST[:24] + string + BALLAST[24:]
 
-    def grams(text):
-        data = text.lower().encode()
-        return {data[i : i + GRAM] for i in range(len(data) - GRAM + 1)}
 
-    there, elsewhere = Counter(), Counter()
-    for text in toxic:
-        there.update(grams(text))
+def _grams(word: bytes) -> list[bytes]:
+    return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
+
+
+def _words(text: str) -> set[bytes]:
+    return {b" %b " % w.encode("utf-8", "replace") for w in text.lower().split()}
+
+
+def contrast(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes]]:
+    """Training strings of both kinds, most telling first.
+
+    Toxic: parts of words, or else whole words, with the space around, that are
+    at least 20 times as frequent in toxic texts. Ordinary: words that share a
+    5-gram with those, then the most frequent ones.
+    """
+    there, elsewhere, bags = Counter(), Counter(), [_words(text) for text in toxic]
+    for bag in bags:
+        there.update({g for w in bag for g in _grams(w[:-1])} | bag)
+    other: Counter = Counter()
     for text in ordinary:
-        elsewhere.update(grams(text))
-    least = max(4, 0.02 * len(toxic))
+        bag = _words(text)
+        other.update(bag)
+        elsewhere.update({g for w in bag for g in _grams(w[:-1])})
+    elsewhere += other
+    least = max(3, 0.01 * len(toxic))
     telling = {g for g, n in there.items() if n >= least and n / len(toxic) > 20 * (elsewhere[g] + 0.5) / max(1, len(ordinary))}
     found: Counter = Counter()
-    for text in toxic:
-        data = text.lower().encode()
-        at, n = 0, len(data) - GRAM + 1
-        while at < n:
-            end = at
-            while end < n and data[end : end + GRAM] in telling:
-                end += 1
-            if end > at:
-                found[data[at : end - 1 + GRAM]] += 1
-            at = end + 1
-    kept: list[bytes] = []
+    for bag in bags:
+        for word in bag:
+            at, n = 0, len(word) - GRAM
+            while at < n:
+                end = at
+                while end < n and word[end : end + GRAM] in telling:
+                    end += 1
+                if end > at:
+                    found[word[at : end - 1 + GRAM]] += 1
+                at = end + 1
+    strings: list[bytes] = []
     for string, count in found.most_common():
-        if count >= max(4, 0.01 * len(toxic)) and not any(string in k or k in string for k in kept):
-            kept.append(string)
-    return kept
+        if count >= least and not any(string in k or k in string for k in strings):
+            strings.append(string)
+    whole = [w for w in telling if w[-1:] == b" " and w[:1] == b" " and len(w) > GRAM and not any(k in w for k in strings)]
+    strings += sorted(whole, key=lambda w: (-there[w], w))
+    shared = {g for w in whole for g in _grams(w)}
+    near = Counter({w: n for w, n in other.items() if any(g in shared for g in _grams(w)) and w not in telling})
+    return strings, [w for w, _ in near.most_common(2000)] + [w for w, _ in other.most_common(2000)]
 
 
 def _dictionary(parts: list[bytes], separator: bytes, size: int) -> bytes:
@@ -81,12 +100,12 @@ def _dictionary(parts: list[bytes], separator: bytes, size: int) -> bytes:
 
 
 class Classifier:
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray | None = None):
-        self.contents, self.weights = (ordinary, toxic), weights
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray | None = None, shortest: int = 0):
+        self.contents, self.weights, self.shortest = (ordinary, toxic), weights, shortest
         self._compressors = None
 
     def __reduce__(self):
-        return Classifier, (self.contents[1], self.contents[0], self.weights)
+        return Classifier, (self.contents[1], self.contents[0], self.weights, self.shortest)
 
     def _lengths(self, windows: list[bytes]) -> Iterator[np.ndarray]:
         if self._compressors is None:
@@ -104,25 +123,26 @@ class Classifier:
             yield np.fromiter((len(packed[i]) for i in range(len(packed))), np.int64, len(packed))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Largest gain, number of clear gains, sum of gains and number of windows of each text, scaled."""
-        windows, counts = [], []
-        for text in texts:
-            words = list(dict.fromkeys((text or "").lower().split()))
-            cut = [BALLAST + f" {' '.join(words[i : i + WINDOW_WORDS])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW_WORDS)]
-            windows += cut
-            counts.append(len(cut))
-        out = np.zeros((len(texts), 5))
+        """Per text: a constant, the largest gain, numbers of windows by gain and toxic length, and the number of windows, scaled."""
+        place: dict[str, int] = {}
+        owner, windows = [], []
+        for i, text in enumerate(texts):
+            found = [place.setdefault(w, len(place)) for w in dict.fromkeys((text or "").lower().split())]
+            windows += found
+            owner += [i] * len(found)
+        out = np.zeros((len(texts), 3 + len(CLEAR)))
         out[:, 0] = 1
         if windows:
-            ordinary, toxic = self._lengths(windows)
-            gain, owner = ordinary - toxic, np.repeat(np.arange(len(texts)), counts)
+            ordinary, toxic = self._lengths([_window(f" {w} ".encode("utf-8", "replace")) for w in place])
+            at, owner = np.array(windows), np.array(owner)
+            toxic, gain = toxic[at], (ordinary - toxic)[at]
+            counts = np.bincount(owner, minlength=len(texts))
             most = np.zeros(len(texts))
-            np.maximum.at(most, owner, gain)
-            clear = gain >= CLEAR_GAIN
+            np.maximum.at(most, owner, np.where(toxic <= self.shortest + 6, gain, 0))
             out[:, 1] = np.minimum(most, 8) / 8
-            out[:, 2] = np.log1p(np.bincount(owner, clear, len(texts)))
-            out[:, 3] = np.log1p(np.bincount(owner, gain * clear, len(texts)))
-            out[:, 4] = np.log1p(counts) / 8
+            for i, (least, left) in enumerate(CLEAR):
+                out[:, 2 + i] = np.log1p(np.bincount(owner, (gain >= least) & (toxic <= self.shortest + left), len(texts)))
+            out[:, -1] = np.log1p(counts) / 8
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -150,10 +170,10 @@ def fit(rows: list[tuple[int, str, int]]) -> Classifier:
     toxic, ordinary = [t for _, t, x in train if x], [t for _, t, x in train if not x]
     if not toxic or not ordinary or len({x for _, _, x in rest}) < 2:
         return Classifier(b"", b"")
-    strings = toxic_strings(toxic, ordinary)
-    words = Counter(w.encode() for t in ordinary for w in t.lower().split())
+    strings, plain = contrast(toxic, ordinary)
     size = min(DICTIONARY_BYTES, sum(len(s) + 1 for s in strings) + 1)
-    made = Classifier(_dictionary(strings, b"\n", size), _dictionary([w for w, _ in words.most_common(size)], b" ", size))
+    made = Classifier(_dictionary(strings, b"\n", size), _dictionary(plain, b"\n", size))
+    made.shortest = int(min((n for n in list(made._lengths([_window(s) for s in strings]))[1]), default=0))
     made.weights = _logistic(made.features([t for _, t, _ in rest]), np.array([x for _, _, x in rest], float))
     return made
 
