@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity filter, exact and near deduplication, source mix, token counts.
 
-Each stage takes (spark, docs, sf_dir), keeps the columns of ``docs`` (the last
-adds none of them back: it reports tokens) and works on all rows it is given.
+Each stage takes (spark, docs, sf_dir) and works on all rows it is given. All but
+the last return the columns of ``docs``; the last returns token ids and digests.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, mixing, toxicity
+from tidemark.llm import bpe, exact, mixing, neighbours, toxicity
 from tidemark.llm.queries import tokenizer_path
 from tidemark.session import ensure_checkpoint_dir
 
@@ -25,6 +25,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts: the smallest id."""
+    return neighbours.drop_neighbours(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its source takes it."""
     return mixing.mixed_rows(docs)
@@ -35,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path()).drop("decoded")
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", exact_dedup), ("mix_sources", mix_sources), ("tokens", tokens)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", exact_dedup), ("jaccard_join", drop_near_copies), ("mix_sources", mix_sources), ("tokens", tokens)]
 
 #: Training, rounding and encoding have no SQL form.
 ORACLE_SQL = None

@@ -28,3 +28,36 @@ def repeats(rows, length=50):
         kept = " ".join(w for i, w in enumerate(ws) if i not in gone)
         out.append((doc, len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out)
+
+
+def shingles(text, n=5):
+    ws = words(text)
+    return {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
+
+
+def groups(rows, threshold=0.8):
+    """(doc_id, class_id, links to different shingle sets) by comparing all pairs."""
+    sets = [(d, frozenset(shingles(t))) for d, t in rows]
+    distinct = sorted({s for _, s in sets if s}, key=lambda s: min(d for d, x in sets if x == s))
+    parent = list(range(len(distinct)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [0] * len(distinct)
+    for i, a in enumerate(distinct):
+        for j in range(i):
+            b = distinct[j]
+            if len(a & b) >= threshold * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    place = {s: i for i, s in enumerate(distinct)}
+    least = {}
+    for d, s in sets:
+        if s:
+            root = find(place[s])
+            least[root] = min(least.get(root, d), d)
+    return sorted((d, least[find(place[s])], links[place[s]]) if s else (d, d, 0) for d, s in sets)

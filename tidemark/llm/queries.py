@@ -83,3 +83,10 @@ def toxicity(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return score(docs, table(spark, folder, "labels")).select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_jaccard_join")
+def jaccard_join(spark, folder):
+    from .neighbours import similar_groups
+
+    return similar_groups(table(spark, folder, "documents"))
