@@ -90,3 +90,28 @@ def jaccard_join(spark, folder):
     from .neighbours import similar_groups
 
     return similar_groups(table(spark, folder, "documents"))
+
+
+@query("op2_secrets")
+def secrets(spark, folder):
+    from .secrets import count, digest, joined, scan
+
+    found = scan(table(spark, folder, "documents"))
+    kinds = [count("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *kinds, digest("base").alias("base_sha256"), joined("found").alias("spans"), count("found", "novel").alias("n_novel"))
+
+
+@query(
+    "op10_top_k",
+    """
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+ FROM w q JOIN w x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+)
+def top_k(spark, folder):
+    from .nearest import top_k as run
+
+    return run(table(spark, folder, "embeddings"))
