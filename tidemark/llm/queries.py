@@ -115,3 +115,10 @@ def top_k(spark, folder):
     from .nearest import top_k as run
 
     return run(table(spark, folder, "embeddings"))
+
+
+@query("op5_html_text")
+def html_text(spark, folder):
+    from .html_text import extract
+
+    return extract(table(spark, folder, "pages"))
