@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
@@ -152,9 +152,6 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
     met = packed.join(wanted, F.col("_key") == F.col("_wanted"))
     # rows alike in id, source and size share their total evenly
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("_wanted").orderBy(F.xxhash64("_row")))
-    each = F.floor(F.col("total") / F.col("alike")) + (place <= F.col("total") % F.col("alike")).cast("int")
-    times = met.select("_row", F.explode(F.array_repeat(F.lit(0), each.cast("int"))))
-    return times.select("_row.*")
+    each = F.floor(F.col("total") / F.col("alike")) + (F.col("place") <= F.col("total") % F.col("alike")).cast("int")
+    return met.withColumn("place", place).withColumn("each", each.cast("int")).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("each")))).select("_row.*")
