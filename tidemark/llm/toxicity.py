@@ -171,6 +171,8 @@ def fit(rows: list[tuple[int, str, int]]) -> Classifier:
     if not toxic or not ordinary or len({x for _, _, x in rest}) < 2:
         return Classifier(b"", b"")
     strings, plain = contrast(toxic, ordinary)
+    if not strings:
+        return Classifier(b"", b"")
     size = min(DICTIONARY_BYTES, sum(len(s) + 1 for s in strings) + 1)
     made = Classifier(_dictionary(strings, b"\n", size), _dictionary(plain, b"\n", size))
     made.shortest = int(min((n for n in list(made._lengths([_window(s) for s in strings]))[1]), default=0))
@@ -192,8 +194,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """All columns of ``docs`` in struct ``row``, with held_out, score (0 to 1) and predicted (score at least 0.5).
 
     Null and empty texts have no windows and get the curve's value there. A row
-    without an id is not held out. Without labels of both kinds every score is
-    0. Repeated rows are scored alike; an empty table gives no rows.
+    without an id is not held out. Without labels of both kinds, or strings that
+    tell them apart, every score is 0. Repeated rows are scored alike; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, id_col, text_col)))
 
