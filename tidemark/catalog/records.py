@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger, monitors, quality, selection
+from ..operators import confidence, ledger, monitors, quality, selection
 from ..sources import changelog
 from .registry import query, rnd
 from .tables import VIEWS
@@ -107,7 +107,7 @@ def exports_state(t):
     return ledger.exports_state(exports, held, ["export_id"])
 
 
-VIEWS["versions"] = "SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 12 <> 0 THEN o_orderkey - 1 END AS supersedes FROM orders"
+VIEWS["versions"] = "SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 12 <> 0 OR o_orderkey BETWEEN 100 AND 400 THEN o_orderkey - 1 END AS supersedes FROM orders"
 
 
 @query("active_records", views=("versions",), sql="SELECT record_id FROM versions v WHERE NOT EXISTS (SELECT 1 FROM versions w WHERE w.supersedes = v.record_id)")
@@ -118,7 +118,7 @@ def active_records(t):
 @query(
     "supersede_chains",
     views=("versions",),
-    sql="""WITH RECURSIVE w AS (SELECT record_id, record_id AS cur, 0 AS n FROM versions UNION ALL SELECT w.record_id, v.record_id, n + 1 FROM w JOIN versions v ON v.supersedes = w.cur WHERE n < 100)
+    sql="""WITH RECURSIVE w AS (SELECT record_id, record_id AS cur, 0 AS n FROM versions UNION ALL SELECT w.record_id, v.record_id, n + 1 FROM w JOIN versions v ON v.supersedes = w.cur)
 SELECT record_id, arg_max(cur, n) AS current_id FROM w GROUP BY record_id""",
 )
 def supersede_chains(t):
@@ -250,3 +250,39 @@ def rows_digest(t):
 
     orders = t("orders")
     return ledger.rows_digest(orders, ["o_orderpriority"], row_hash(*[F.col(n) for n in orders.columns]))
+
+
+VIEWS["chained_changes"] = """
+SELECT o_orderkey AS change_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey - 1 END AS supersedes,
+ CASE o_orderstatus WHEN 'F' THEN 'deployed' WHEN 'O' THEN 'pending' ELSE 'unknown' END AS deploy_status, CAST(o_orderdate AS DATE) AS live_date FROM orders"""
+
+
+@query(
+    "linked_successors",
+    views=("chained_changes",),
+    sql="""WITH RECURSIVE w AS (SELECT change_id AS request_id, change_id AS cur, 0 AS n FROM chained_changes UNION ALL SELECT w.request_id, c.change_id, n + 1 FROM w JOIN chained_changes c ON c.supersedes = w.cur),
+e AS (SELECT request_id, arg_max(cur, n) AS change_id FROM w GROUP BY request_id)
+SELECT e.request_id, e.change_id, 'linked' AS relation FROM e JOIN chained_changes c USING (change_id) WHERE c.deploy_status <> 'pending'""",
+)
+def linked_successors(t):
+    """Requests that name a superseded change are linked with its newest successor."""
+    none = F.lit(None)
+    changes = t("chained_changes").select(
+        "change_id", "supersedes", "deploy_status", "live_date", F.lit("content_update").alias("type"), none.cast("array<string>").alias("pages"),
+        none.cast("string").alias("experiment_id"), F.lit(True).alias("confirmed"),
+    )
+    requests = changes.select(
+        F.col("change_id").alias("request_id"), F.array("change_id").alias("change_ids"), none.cast("string").alias("experiment_id"), none.cast("array<string>").alias("scope_pages"),
+        F.lit("1995-01-01").cast("date").alias("before_start"), F.lit("2001-12-31").cast("date").alias("after_end"),
+    )
+    return confidence.classify_changes(changes, requests).select("request_id", "change_id", "relation")
+
+
+@query(
+    "unknown_changes",
+    sql="SELECT o_orderkey AS request_id, 'unknown_change' AS code, 'blocking' AS severity, CAST(o_orderkey AS VARCHAR) AS detail FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
+)
+def unknown_changes(t):
+    registry = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("change_id"))
+    requests = t("orders").select(F.col("o_orderkey").alias("request_id"), F.array("o_orderkey").alias("change_ids"))
+    return confidence.unknown_changes(registry, requests)

@@ -351,3 +351,12 @@ def audit_summary(t):
     found = search_audit(t("detail_rows"), BEFORE, AFTER)["striking_distance"]
     name = F.when(F.col("band") == "positions_4_15", "striking_distance").otherwise("pages_far")
     return found.groupBy(name.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "top_pages_since",
+    views=("search_rows",),
+    sql="SELECT page, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions FROM search_rows WHERE date >= DATE '1998-01-01' GROUP BY page",
+)
+def top_pages_since(t):
+    return s.top_pages_since(t("search_rows"), "1998-01-01")

@@ -120,14 +120,16 @@ def sitemap_coverage(t):
 @query(
     "redirect_chains",
     sql="""WITH RECURSIVE n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_partkey + 7 WHEN p_partkey % 5 IN (1, 2, 3) THEN p_partkey + 1 END AS nx FROM part),
-w AS (SELECT k, k AS cur, 0 AS hops FROM n UNION ALL SELECT w.k, n.nx, hops + 1 FROM w JOIN n ON n.k = w.cur WHERE n.nx IS NOT NULL AND hops < 5)
-SELECT '/p/' || k AS url, CAST(CASE WHEN max(hops) > 0 THEN 301 ELSE 200 END AS INT) AS status, CASE WHEN max(hops) > 0 THEN '/p/' || arg_max(cur, hops) ELSE '' END AS redirect_to, CAST(max(hops) AS INT) AS redirect_hops FROM w GROUP BY k""",
+w AS (SELECT k, k AS cur, 0 AS hops FROM n UNION ALL SELECT w.k, n.nx, hops + 1 FROM w JOIN n ON n.k = w.cur WHERE n.nx IS NOT NULL)
+SELECT 'https://e.com/p/' || k AS url, CAST(CASE WHEN max(hops) > 0 THEN 301 ELSE 200 END AS INT) AS status, CASE WHEN max(hops) > 0 THEN 'https://e.com/p/' || arg_max(cur, hops) ELSE '' END AS redirect_to, CAST(max(hops) AS INT) AS redirect_hops, false AS truncated FROM w GROUP BY k""",
 )
 def redirect_chains(t):
     k = F.col("p_partkey")
     following = F.when(k % 7 == 0, k + 7).when((k % 5).isin(1, 2, 3), k + 1)
-    name = lambda c: F.concat(F.lit("/p/"), c.cast("string"))
-    fetched = t("part").select(name(k).alias("url"), F.when(following.isNotNull(), 301).otherwise(200).alias("status"), name(following).alias("redirect_to"))
+    # targets as servers give them: absolute, rooted, or relative to the folder
+    name = lambda start, c: F.concat(F.lit(start), c.cast("string"))
+    target = F.when(k % 3 == 0, name("https://e.com/p/", following)).when(k % 3 == 1, name("/p/", following)).otherwise(following.cast("string"))
+    fetched = t("part").select(name("https://e.com/p/", k).alias("url"), F.when(following.isNotNull(), 301).otherwise(200).alias("status"), target.alias("redirect_to"))
     return html.redirect_chains(fetched)
 
 

@@ -56,8 +56,7 @@ SELECT o_orderkey AS change_id, CAST(o_orderdate AS DATE) AS live_date,
  CASE o_orderstatus WHEN 'F' THEN 'deployed' WHEN 'O' THEN 'pending' ELSE 'unknown' END AS deploy_status,
  CASE WHEN o_orderkey % 5 = 0 THEN 'tracking_change' ELSE 'content_update' END AS type,
  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE page END AS page
-FROM orders JOIN (SELECT l_orderkey, MIN('/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '-'))) AS page FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) x ON o_orderkey = l_orderkey
-WHERE o_orderkey % 25 = 0""",
+FROM orders JOIN (SELECT l_orderkey, MIN('/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '-'))) AS page FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) x ON o_orderkey = l_orderkey""",
     # two pulls of the search rows; the second restates 2001
     "pulls": """
 SELECT 1 AS pull_id, DATE '2002-01-01' AS retrieved_at, s.* FROM search_rows s

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_inclusive
 from ..settings import CAUSAL_SCALE, STRENGTH_SCALE
+from .selection import resolve_chains
 
 
 def _name(rank: Column, scale: Sequence[str]) -> Column:
@@ -80,11 +81,15 @@ def classify_changes(changes: DataFrame, requests: DataFrame) -> DataFrame:
     confirmed, supersedes. ``requests``: request_id, window dates, scope_pages
     (NULL or empty for the whole property), change_ids, experiment_id.
 
-    Scopes meet changes through an equi-join on the page. Changes that touch
-    every request of a span are listed once, by :func:`shared_changes`.
+    A linked change that was superseded counts as its newest successor. Scopes
+    meet changes through an equi-join on the page. Changes that touch every
+    request of a span are listed once, by :func:`shared_changes`.
     """
     live = _live(changes)
-    by_id = requests.select("request_id", F.explode("change_ids").alias("change_id")).join(live.select(*_CARRIED), "change_id")
+    named = requests.select("request_id", F.explode("change_ids").alias("change_id"))
+    current = resolve_chains(changes, "change_id")
+    followed = named.join(current, "change_id").select("request_id", F.col("current_id").alias("change_id"))
+    by_id = followed.join(live.select(*_CARRIED), "change_id")
     by_experiment = requests.select("request_id", "experiment_id").where("experiment_id IS NOT NULL").join(
         live.where("experiment_id IS NOT NULL").select(*_CARRIED, "experiment_id"), "experiment_id"
     )
@@ -102,6 +107,13 @@ def classify_changes(changes: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def unknown_changes(changes: DataFrame, requests: DataFrame) -> DataFrame:
+    """Blocking issues for linked change ids that the registry does not hold."""
+    named = requests.select("request_id", F.explode("change_ids").alias("change_id"))
+    lost = named.join(changes.select("change_id").distinct(), "change_id", "left_anti").distinct()
+    return lost.select("request_id", F.lit("unknown_change").alias("code"), F.lit("blocking").alias("severity"), F.col("change_id").cast("string").alias("detail"))
+
+
 def shared_changes(changes: DataFrame, requests: DataFrame) -> DataFrame:
     """Changes that touch every request of a span, once per distinct span.
 

@@ -589,6 +589,13 @@ def top_rows(rows: DataFrame, dimension: str, measure: str, limit: int = 10, nor
     return rollup(rows, [dimension], normalize).orderBy(F.desc(measure), dimension).limit(limit)
 
 
+def top_pages_since(rows: DataFrame, since: str, limit: int | None = None) -> DataFrame:
+    """Pages by clicks from a day on, ties by page; all of them without ``limit``."""
+    sums = rows.where(F.col("date") >= F.lit(since).cast("date")).groupBy("page").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    ranked = sums.orderBy(F.desc("clicks"), "page")
+    return ranked if limit is None else ranked.limit(limit)
+
+
 def rank_opportunities(gains: DataFrame, losses: DataFrame) -> DataFrame:
     """CTR gains and decay losses in one list by estimated clicks per 28 days."""
     left = gains.select(

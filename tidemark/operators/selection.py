@@ -214,33 +214,43 @@ def active_records(records: DataFrame, key: str, supersedes: str = "supersedes")
     return records.join(replaced, key, "left_anti")
 
 
-def resolve_chains(records: DataFrame, key: str, supersedes: str = "supersedes", max_depth: int = 100) -> DataFrame:
-    """Newest record of each record's supersede chain.
-
-    The jump length doubles per round, so a chain of 100 takes seven joins.
-    Each round is written to the checkpoint folder; only records that have a
-    successor take part.
-    """
+def _jumps(records: DataFrame, key: str, supersedes: str) -> DataFrame:
+    """from_id, to_id and whether to_id still leads on, after doubling until nothing moves or only cycles do."""
     step = (
         records.where(F.col(supersedes).isNotNull())
         .groupBy(F.col(supersedes).alias("from_id"))
         .agg(F.min(key).alias("to_id"))
     )
-    jumps = cut_lineage(step)
-    reach = 1
-    while reach < max_depth:
+    jumps = cut_lineage(step.withColumn("moved", F.lit(True)))
+    reach, most = 1, jumps.count()
+    while reach <= 2 * most:  # one round more than needed shows what never ends
         further = jumps.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("_next"))
-        doubled = jumps.join(further, "to_id", "left").withColumn("_moved", F.col("_next").isNotNull())
-        doubled = cut_lineage(doubled.select("from_id", F.coalesce("_next", "to_id").alias("to_id"), "_moved"))
+        doubled = jumps.join(further, "to_id", "left")
+        jumps = cut_lineage(doubled.select("from_id", F.coalesce("_next", "to_id").alias("to_id"), F.col("_next").isNotNull().alias("moved")))
         reach *= 2
-        moved = not doubled.where("_moved").isEmpty()
-        jumps = doubled.drop("_moved")
-        if not moved:
+        if jumps.where("moved").isEmpty():
             break
-    ends = records.select(key).distinct().join(jumps.withColumnRenamed("from_id", key), key, "left")
+    return jumps
+
+
+def resolve_chains(records: DataFrame, key: str, supersedes: str = "supersedes") -> DataFrame:
+    """Newest record of each record's supersede chain, however long.
+
+    The jump length doubles per round, so a chain of a million takes twenty
+    joins. Each round is written to the checkpoint folder; only records that
+    have a successor take part. A record whose chain runs into a cycle has no
+    newest one: it stands for itself, and :func:`chain_cycles` lists it.
+    """
+    jumps = _jumps(records, key, supersedes).where("not moved").select(F.col("from_id").alias(key), "to_id")
+    ends = records.select(key).distinct().join(jumps, key, "left")
     return ends.select(key, F.coalesce("to_id", key).alias("current_id"))
 
 
+def chain_cycles(records: DataFrame, key: str, supersedes: str = "supersedes") -> DataFrame:
+    """Records whose supersede chain runs into a cycle."""
+    return _jumps(records, key, supersedes).where("moved").select(F.col("from_id").alias(key))
+
+
 def superseded_slices(pairs: DataFrame, slices: Sequence[str], order: str, pull: str) -> DataFrame:
     """Slice and pull combinations that a later pull of the same slice replaces."""
     owners = pairs.groupBy(*[F.col(c).alias(f"_{c}") for c in slices]).agg(F.max(F.struct(order, pull)).alias("_owner"))

@@ -301,9 +301,9 @@ def _control_requests(evidence: Evidence, requests: DataFrame) -> DataFrame:
     paged = evidence.snapshots.where(
         F.array_contains("dimensions", "page") & F.array_contains("dimensions", "date") & ~F.array_contains("dimensions", "query")
     ).select("snapshot_id", "retrieved_at")
-    daily = evidence.facts.join(paged, "snapshot_id").groupBy("source_id", "page", "date").agg(
-        F.max_by(F.col("impressions"), F.struct("retrieved_at", "snapshot_id")).alias("impressions")
-    )
+    # a page's day is the sum of its rows in the latest pull that has it
+    pulled = evidence.facts.join(paged, "snapshot_id").groupBy("source_id", "page", "date", "retrieved_at", "snapshot_id").agg(F.sum("impressions").alias("impressions"))
+    daily = pulled.groupBy("source_id", "page", "date").agg(F.max_by("impressions", F.struct("retrieved_at", "snapshot_id")).alias("impressions"))
     touched = evidence.changes.select(F.to_date("live_at").alias("date"), "pages")
     chosen = control.control_pages(daily, auto, touched, evidence.prefixes)
     listed = chosen.groupBy("request_id").agg(F.array_sort(F.collect_list("page")).alias("_control"))
@@ -343,6 +343,7 @@ def analyze(
 
     issues = measure_issues(evidence, resolved, windows, selected, parts, now)
     issues = issues.unionByName(row_fault_issues(evidence, windows, selected, scope_sets))
+    issues = issues.unionByName(confidence.unknown_changes(evidence.changes, requests).select("request_id", F.lit("both").alias("label"), *quality.ISSUE))
     apart = source_agreement(evidence, resolved, parts, scope_sets)
     if apart is not None:
         apart = cut_lineage(apart)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +32,15 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only if none is named."""
+    """Use the shared checkpoint folder that the cluster names; only a local master may do without one."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder; it must be one that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     context.setCheckpointDir(folder)
 
 

@@ -54,10 +54,10 @@ def change_log(
         F.lit(deploy_status) if deploy_status and deploy_status != "deployed" else F.when(applied.isNotNull() & F.lit(deploy_status is None), "pending").otherwise("unknown")
     )
     pages = pages_in(cell("pages"))
-    label = F.concat_ws(" ", F.coalesce(or_null(cell("type")), F.lit("change")), F.array_join(F.slice(pages, 1, 3), ", "))
+    label = F.concat_ws(" ", F.coalesce(or_null(cell("type")), F.lit("change")), F.array_join(pages, ", "))
     hashed = row_hash(*[F.col(f"`{n}`") for n in rows.columns])
     return rows.select(
-        F.substring(F.regexp_replace(F.coalesce(or_null(F.trim(cell("title"))), label), r"\*\*", ""), 1, 140).alias("title"),
+        F.regexp_replace(F.coalesce(or_null(F.trim(cell("title"))), label), r"\*\*", "").alias("title"),
         F.lit(origin).alias("origin"),
         F.concat(F.lit(f"import:{file}:"), F.substring(hashed, 1, 12)).alias("origin_ref"),
         change_type(F.concat_ws(" ", cell("type"), cell("title")), default_type).alias("type"),
