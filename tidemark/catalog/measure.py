@@ -75,7 +75,7 @@ def metric_aggregations(t):
         ],
         "metric_id STRING, aggregation STRING, field STRING, numerator STRING, denominator STRING, weight STRING, scale DOUBLE",
     ).withColumns({"series": F.lit(None).cast("string"), "canonical_source": F.lit("gsc"), "fallback_sources": F.lit(None).cast("array<string>")})
-    facts = t("search_rows").withColumns({"source_id": F.lit("gsc"), "kind": F.lit("gsc_rows")})
+    facts = t("search_rows").withColumns({"source_id": F.when(F.col("date").isNotNull(), "gsc"), "kind": F.lit("gsc_rows")})
     mapped = metrics.join_mappings(facts, metrics.resolve_mappings(dictionary)).drop("series_field").withColumn("series_field", F.lit(None).cast("string"))
     keys = ["page", "metric_id", "aggregation", "scale", "kind"]
     values = metrics.period_values(metrics.metric_parts(mapped, [*keys, "date"]), keys)
@@ -291,7 +291,7 @@ def _changed(t):
     sql=f"WITH {_CHANGED}, {_CONTROL} SELECT request_id, page, before_impressions, CAST(rank AS INT) AS rank FROM cp WHERE rank <= 200",
 )
 def control_pages(t):
-    chosen = control.control_pages(_page_days(t), _control_requests(t), _changed(t))
+    chosen = control.control_pages(_page_days(t), _control_requests(t), _changed(t), limit=200)
     return chosen.select("request_id", "page", "before_impressions", "rank")
 
 

@@ -85,10 +85,20 @@ def found_secrets(text: Column) -> Column:
     return F.when(_hinted(text, *_HINTS), found).otherwise(F.array().cast("array<string>"))
 
 
+def _bound(value: Column, function) -> Column:
+    """``function`` of a value that is computed once, however often the function names it."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
 def _masked(text: Column) -> Column:
-    for _, pattern, replacement in SECRET_PATTERNS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.regexp_replace(text, KEY_VALUE, "$1$2$1$3$4[REDACTED]$4")
+    """Each pattern runs only where its own hint occurs."""
+    for name, pattern, replacement in [*SECRET_PATTERNS, ("key_value", KEY_VALUE, "$1$2$1$3$4[REDACTED]$4")]:
+        text = _bound(text, _gated(name, pattern, replacement))
+    return text
+
+
+def _gated(name: str, pattern: str, replacement: str):
+    return lambda value: F.when(_hinted(value, name), F.regexp_replace(value, pattern, replacement)).otherwise(value)
 
 
 def _secret_hints() -> list[str]:

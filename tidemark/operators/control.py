@@ -18,7 +18,7 @@ def control_pages(
     requests: DataFrame,
     changed: DataFrame | None = None,
     prefixes: Sequence[str] = (),
-    limit: int = 200,
+    limit: int | None = None,
     planning: bool = False,
 ) -> DataFrame:
     """Untouched pages of the treated pages' markets with rows in both windows.
@@ -26,7 +26,8 @@ def control_pages(
     ``page_days`` has source_id, page, date, impressions; ``requests`` has
     request_id, source_id, the four window dates and ``pages``; ``changed``
     has change_id, date and ``pages``. Windows shared by several requests are
-    totalled once. ``planning`` needs before-window rows only.
+    totalled once. ``planning`` needs before-window rows only. ``limit`` keeps the
+    first pages by volume; without it all stay.
     """
     window = ["source_id", "before_start", "before_end", "after_start", "after_end"]
     asked = requests.select("request_id", *window, "pages")
@@ -53,7 +54,9 @@ def control_pages(
         hit = free.join(touched, "page").where(F.col("date").between(F.col("before_start"), end))
         free = free.join(hit.select("request_id", "page").distinct(), ["request_id", "page"], "left_anti")
     order = Window.partitionBy("request_id").orderBy(F.desc("before_impressions"), "page")
-    ranked = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = free.withColumn("rank", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("rank") <= limit)
     return ranked.select("request_id", "page", "market", "before_impressions", "rank")
 
 

@@ -119,13 +119,14 @@ def hash_violations(rows: DataFrame, snapshots: DataFrame, row_hash: Column) ->
 
 
 def rows_digest(rows: DataFrame, keys: Sequence[str], row_hash: Column) -> DataFrame:
-    """Order-free digest per key from row hashes: count, and sums of the hash's two halves.
+    """Order-free digest per key from row hashes: count, and sums of the hash's four quarters.
 
     Sums combine on the map side, so no list of rows is ever collected.
     """
-    half = lambda start: F.conv(F.substring(row_hash, start, 12), 16, 10).cast("decimal(20,0)")
-    summed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(half(1)).alias("_a"), F.sum(half(13)).alias("_b"))
-    return summed.select(*keys, "rows", F.sha2(F.concat_ws(":", "rows", F.col("_a").cast("string"), F.col("_b").cast("string")), 256).alias("digest"))
+    quarter = lambda start: F.conv(F.substring(row_hash, start, 16), 16, 10).cast("decimal(20,0)")
+    names = ["_a", "_b", "_c", "_d"]
+    summed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(quarter(1 + 16 * i)).alias(n) for i, n in enumerate(names)])
+    return summed.select(*keys, "rows", F.sha2(F.concat_ws(":", "rows", *[F.col(n).cast("string") for n in names]), 256).alias("digest"))
 
 
 def dictionary_violations(metrics: DataFrame, sources: DataFrame) -> DataFrame:
