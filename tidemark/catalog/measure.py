@@ -295,6 +295,20 @@ def control_pages(t):
     return chosen.select("request_id", "page", "before_impressions", "rank")
 
 
+@query(
+    "planned_controls",
+    views=("detail_rows",),
+    sql=f"""WITH {_CHANGED}, w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) AS b FROM detail_rows WHERE date BETWEEN DATE '2001-04-23' AND DATE '2001-07-29' GROUP BY page),
+ch AS (SELECT DISTINCT page FROM changed WHERE date BETWEEN DATE '2001-04-23' AND DATE '2001-07-29')
+SELECT m AS request_id, page, CAST(b AS BIGINT) AS before_impressions, CAST(row_number() OVER (PARTITION BY m ORDER BY b DESC, page) AS INT) AS rank FROM w
+ WHERE page NOT LIKE '%3' AND page NOT IN (SELECT page FROM ch)""",
+)
+def planned_controls(t):
+    """Control pages fixed before any outcome: only the window before counts, and all of them stay."""
+    chosen = control.control_pages(_page_days(t), _control_requests(t), _changed(t), planning=True)
+    return chosen.select("request_id", "page", "before_impressions", "rank")
+
+
 def _did_daily(t):
     rows = compare.label_windows(t("detail_rows"), BEFORE, AFTER)
     role = F.when(F.col("page").endswith("3"), "treated").otherwise("control")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import ledger, quality, selection
+from ..operators import ledger, monitors, quality, selection
 from ..settings import SEARCH_CHANGE_TYPES
 from .registry import query, rnd
 
@@ -189,3 +189,30 @@ def fingerprints(t):
     lock = F.when(F.col("p_partkey") % 5 != 0, "## Criteria lock").otherwise("## Results")
     body = F.concat(F.lit("# T"), end, F.lit("## Hypothesis"), end, F.col("p_name"), F.lit("  \t"), end, end, F.col("p_type"), F.lit(" "), end, end, lock, end, F.lit("later"))
     return t("part").select("p_partkey", text.definition_fingerprint(body).alias("fingerprint"))
+
+
+@query(
+    "open_windows",
+    sql=f"SELECT o_orderkey AS request_id, 'after' AS label, 'window_open' AS code, 'major' AS severity, {_DAY} AS detail FROM orders WHERE CAST(o_orderdate AS DATE) + 1 > DATE '1998-06-01'",
+)
+def open_windows(t):
+    experiments = t("orders").select(F.col("o_orderkey").alias("experiment_id"), F.to_date("o_orderdate").alias("window_end"))
+    return monitors.open_window_issues(experiments, F.lit("1998-06-01 00:00:00").cast("timestamp"))
+
+
+@query(
+    "experiment_readiness",
+    sql="""WITH e AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT k AS experiment_id, CASE WHEN k % 9 = 0 THEN 'confirm_definition' WHEN k % 9 = 1 THEN 'ask_about_changed_definition' WHEN k % 5 = 0 THEN 'create_plan' WHEN k % 7 = 0 THEN 'record_baseline'
+ WHEN k % 6 = 0 THEN 'await_decision' WHEN d >= DATE '1998-06-01' THEN 'wait_for_window' WHEN k % 3 <> 2 AND d > (CASE k % 3 WHEN 0 THEN DATE '1996-01-01' ELSE DATE '1997-01-01' END) THEN 'refresh_source' ELSE 'evaluate' END AS next_step FROM e""",
+)
+def experiment_readiness(t):
+    k = F.col("o_orderkey")
+    orders = t("orders")
+    experiments = orders.select(
+        k.alias("experiment_id"), F.when(k % 9 == 1, "changed").when(k % 9 != 0, "locked").alias("definition_status"), F.to_date("o_orderdate").alias("window_end"), (k % 3).alias("source_id")
+    )
+    plans = orders.where(k % 5 != 0).select(k.alias("experiment_id"), F.when(k % 6 == 0, "evaluated").otherwise("planned").alias("plan_status"), F.when(k % 7 != 0, k).alias("baseline_id"))
+    seen = orders.select((k % 3).alias("source_id")).distinct()
+    sources = seen.select("source_id", F.when(F.col("source_id") == 0, F.lit("1996-01-01").cast("date")).when(F.col("source_id") == 1, F.lit("1997-01-01").cast("date")).alias("data_through"))
+    return monitors.experiment_readiness(experiments, plans, sources, F.lit("1998-06-01 00:00:00").cast("timestamp"))

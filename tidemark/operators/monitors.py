@@ -160,6 +160,14 @@ def evaluate_experiments(experiments: DataFrame, measured: DataFrame, now: Colum
     )
 
 
+def open_window_issues(experiments: DataFrame, now: Column) -> DataFrame:
+    """Major issues for experiments whose window is still open: what they show may yet change."""
+    still_open = now < F.date_add("window_end", 1).cast("timestamp")
+    return experiments.where(still_open).select(
+        F.col("experiment_id").alias("request_id"), F.lit("after").alias("label"), F.lit("window_open").alias("code"), F.lit("major").alias("severity"), F.col("window_end").cast("string").alias("detail")
+    )
+
+
 def plan_experiments(experiments: DataFrame, changes: DataFrame) -> DataFrame:
     """Windows and page scope of each experiment: a baseline of the same length just before, pages of its changes."""
     pages = changes.where("experiment_id IS NOT NULL").select("experiment_id", F.explode("pages").alias("page")).groupBy("experiment_id").agg(
