@@ -278,13 +278,20 @@ def _scan_sql() -> str:
             found = f"list_filter({found}, lambda m: {test})"
         parts.append(f"SELECT doc_id, '{name}' AS secret FROM documents WHERE len({found}) > 0")
     parts.append(f"SELECT doc_id, 'email' FROM documents WHERE {_MAIL} > 0")
+    # name and value each bare, in double or in single quotes, as this engine has no back-references
+    named, placeholder = [], texts.PLACEHOLDER.replace("'", "''")
+    for name_quote in ("", '"', "''"):
+        for value_quote in ("", '"', "''"):
+            pattern = rf"(?i)(?:^|[^A-Za-z0-9_]){name_quote}({texts.SECRET_NAMES}){name_quote}\s*[:=]\s*{value_quote}([^\s\"'',}}]{{8,}}){value_quote}"
+            fine = f"NOT regexp_full_match(regexp_extract(m, '{pattern}', 2), '(?i){placeholder}')"
+            named.append(f"SELECT doc_id, unnest(list_transform(list_filter(regexp_extract_all(text, '{pattern}'), lambda m: {fine}), lambda m: lower(regexp_extract(m, '{pattern}', 1)))) AS name FROM documents")
+    parts.append(f"SELECT DISTINCT doc_id, 'key_value:' || name FROM ({' UNION ALL '.join(named)})")
     return " UNION ALL ".join(parts)
 
 
 @query("secret_scan", sql=_scan_sql())
 def secret_scan(t):
-    found = t("documents").select("doc_id", F.explode(texts.found_secrets(F.col("text"))).alias("secret"))
-    return found.where(~F.col("secret").startswith("key_value:"))
+    return t("documents").select("doc_id", F.explode(texts.found_secrets(F.col("text"))).alias("secret"))
 
 
 @query("email_redaction", sql=f"SELECT doc_id, CAST({_MAIL} AS BIGINT) AS emails FROM documents WHERE {_MAIL} > 0")

@@ -46,13 +46,13 @@ _HINTS = {
 }
 
 # fixed values: names whose values are secrets, and values that only stand for one
-_SECRET_NAMES = (
+SECRET_NAMES = (
     r"api[_-]?key|apikey|access[_-]?token|refresh[_-]?token|auth[_-]?token|id[_-]?token|client[_-]?secret|"
     r"secret(?:[_-]?key)?|password|passwd|private[_-]?key|session[_-]?id|cookie|set-cookie|authorization"
 )
-_PLACEHOLDER = r"(?:null|none|unknown|true|false|\[?redacted[^\s]*|<[^>\s\"',}]*>|\$\{?[A-Z_][A-Z0-9_]*\}?|env:[A-Z_][A-Z0-9_]*)"
-_VALUE = r"(?!" + _PLACEHOLDER + r"(?:[\s\"',}]|$))([^\s\"',}]{8,})"
-KEY_VALUE = r"(?i)([\"']?)" + _START + r"(" + _SECRET_NAMES + r")" + _END + r"\1(\s*[:=]\s*)([\"']?)" + _VALUE + r"(?![^\s\"',}])\4"
+PLACEHOLDER = r"(?:null|none|unknown|true|false|\[?redacted[^\s]*|<[^>\s\"',}]*>|\$\{?[A-Z_][A-Z0-9_]*\}?|env:[A-Z_][A-Z0-9_]*)"
+_VALUE = r"(?!" + PLACEHOLDER + r"(?:[\s\"',}]|$))([^\s\"',}]{8,})"
+KEY_VALUE = r"(?i)([\"']?)" + _START + r"(" + SECRET_NAMES + r")" + _END + r"\1(\s*[:=]\s*)([\"']?)" + _VALUE + r"(?![^\s\"',}])\4"
 
 _ASSET = r"(?:png|jpe?g|gif|webp|svg|avif|ico|css|js|pdf|mp4|webm|woff2?)"
 _EMAIL_BODY = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
