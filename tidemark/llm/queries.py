@@ -63,11 +63,26 @@ def mix(spark, folder):
     return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-@query("op1_substring_dedup")
+#: DuckDB: the words of each document.
+_WORDS = "SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents"
+
+
+@query(
+    "op1_substring_dedup",
+    f"""
+WITH d AS ({_WORDS}),
+h AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 48, 1)), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS hs FROM d),
+x AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM h),
+m AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN m USING (h) WHERE least < doc_id),
+v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.p) AS kept, count(*) AS n FROM v ANTI JOIN c ON v.doc_id = c.doc_id AND v.p = c.p GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+)
 def substring_dedup(spark, folder):
     from .substrings import remove_repeats
 
-    return remove_repeats(table(spark, folder, "documents"))
+    return remove_repeats(table(spark, folder, "documents")).drop("spans")
 
 
 @query("op8_context_tree_scores")
@@ -85,7 +100,23 @@ def toxicity(spark, folder):
     return score(docs, table(spark, folder, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
-@query("op4_jaccard_join")
+@query(
+    "op4_jaccard_join",
+    f"""
+WITH RECURSIVE d AS ({_WORDS}),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM d WHERE len(w) > 0),
+c AS (SELECT s, min(doc_id) AS copy_id, count(*) AS n_copies, len(s) AS n FROM s GROUP BY s),
+u AS (SELECT copy_id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.copy_id AS a, b.copy_id AS b FROM u a JOIN u b ON a.g = b.g AND a.copy_id < b.copy_id GROUP BY a.copy_id, b.copy_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT copy_id AS node, copy_id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+l AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+z AS (SELECT root, sum(n_copies) AS class_size FROM l JOIN c ON node = copy_id GROUP BY root),
+f AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT s.doc_id, l.root AS class_id, c.copy_id, c.n_copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(class_size AS BIGINT) AS class_size
+FROM s JOIN c ON s.s = c.s JOIN l ON l.node = c.copy_id JOIN z ON z.root = l.root LEFT JOIN f ON f.a = c.copy_id
+UNION ALL SELECT doc_id, doc_id, doc_id, 1, 0, 1 FROM d WHERE len(w) = 0""",
+)
 def jaccard_join(spark, folder):
     from .neighbours import similar_groups
 
