@@ -11,12 +11,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, exact, mixing, neighbours, toxicity
+from tidemark.llm.common import short_batches
 from tidemark.llm.queries import tokenizer_path
 from tidemark.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, trained on the labelled ones, does not call toxic."""
+    short_batches(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,6 +29,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts: the smallest id."""
+    short_batches(spark)
     return neighbours.drop_neighbours(docs)
 
 
@@ -37,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and digests of ids and decoded text."""
+    short_batches(spark)
     return bpe.encode(docs, tokenizer_path()).drop("decoded")
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, chunks, text_bytes
 
 #: Distinct words, and pieces between spaces, whose encoding a worker remembers; memory bounds, not limits of the result.
-REMEMBERED_WORDS = 300_000
-REMEMBERED_PIECES = 600_000
+REMEMBERED_WORDS = 120_000
+REMEMBERED_PIECES = 200_000
 #: Longer pieces are encoded but not remembered.
 REMEMBERED_LENGTH = 64
 
@@ -280,9 +280,9 @@ def encoder(spec: str) -> Encoder:
     """The compiled encoder of a tokenizer file's text; one per worker process."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _HELD:
-        gc.disable()  # the tables hold millions of objects and no cycles
         _HELD.clear()
         _HELD[key] = Encoder(spec)
+        gc.freeze()  # the collector need not walk the tables
     return _HELD[key]
 
 
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         tool = encoder(spec.value)
         for rows in batches:
             _, offsets = text_bytes(rows.column(1))
-            for first, last in chunks(offsets, 4 * CHUNK_BYTES):
+            for first, last in chunks(offsets, 2 * CHUNK_BYTES):
                 part = rows.slice(first, last - first)
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 fresh = tool.learn(texts)
@@ -317,6 +317,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 tool.forget(fresh)
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, types[1:]))], names=[n for n, _ in types])
+        tool.words.clear()  # a worker that is used again for other work gets its memory back
+        tool.pieces.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
     picked = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

@@ -203,7 +203,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for rows in batches:
             column = rows.column(rows.schema.get_field_index("_text"))
             _, offsets = text_bytes(column)
-            for a, b in chunks(offsets, CHUNK_BYTES):
+            for a, b in chunks(offsets, CHUNK_BYTES // 2):
                 part = rows.slice(a, b - a)
                 scores = model.value.scores(column.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["row", "held_out", "score", "predicted"])
