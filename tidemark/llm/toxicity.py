@@ -45,6 +45,11 @@ def _grams(word: bytes) -> list[bytes]:
     return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
 
 
+def _ranked(counts: Counter) -> list[tuple[bytes, int]]:
+    """Most frequent first; ties by bytes, so that a fit repeats exactly."""
+    return sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+
+
 def _words(text: str) -> set[bytes]:
     return {b" %b " % w.encode("utf-8", "replace") for w in text.lower().split()}
 
@@ -79,14 +84,14 @@ def contrast(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[b
                     found[word[at : end - 1 + GRAM]] += 1
                 at = end + 1
     strings: list[bytes] = []
-    for string, count in found.most_common():
+    for string, count in _ranked(found):
         if count >= least and not any(string in k or k in string for k in strings):
             strings.append(string)
     whole = [w for w in telling if w[-1:] == b" " and w[:1] == b" " and len(w) > GRAM and not any(k in w for k in strings)]
     strings += sorted(whole, key=lambda w: (-there[w], w))
     shared = {g for w in whole for g in _grams(w)}
     near = Counter({w: n for w, n in other.items() if any(g in shared for g in _grams(w)) and w not in telling})
-    return strings, [w for w, _ in near.most_common(2000)] + [w for w, _ in other.most_common(2000)]
+    return strings, [w for w, _ in _ranked(near)[:2000]] + [w for w, _ in _ranked(other)[:2000]]
 
 
 def _dictionary(parts: list[bytes], separator: bytes, size: int) -> bytes:
