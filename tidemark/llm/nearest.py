@@ -2,8 +2,8 @@
 
 Vectors become whole numbers, so scores are exact. A hash sample of at most
 ``PIVOTS`` vectors are pivots, and every vector belongs to the cell of its
-nearest one. A cell's summary is its pivot, its radius and its count. A block of
-queries has a centre and a radius too. For a data cell with pivot p and radius r
+nearest one. A cell's summary is its pivot, its radius and its count. Query cells
+near each other ask as one block, with a centre and a radius of its own. For a data cell with pivot p and radius r
 and a block of queries with centre c and radius s, any score q.x lies within
 
     c.p - slack and c.p + slack,  slack = |c| r + s |p| + s r.
@@ -34,6 +34,8 @@ PIVOTS = 128
 QUERY_BLOCK = 512
 SLICE = 8192
 SMALL_NEEDS = 1_000_000
+#: Scores that cost as much as sending one row to a block.
+SEND_COST = 500
 
 
 def whole_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -76,6 +78,54 @@ def needed_cells(centre: np.ndarray, spread: float, pivots: np.ndarray, radius:
     return np.flatnonzero((high >= floor) & (count > 0))
 
 
+def _spread_out(points: np.ndarray, n: int) -> list[int]:
+    """Places of n points, each the farthest from those before it."""
+    chosen = [0]
+    gap = np.linalg.norm(points - points[0], axis=1)
+    while len(chosen) < n:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.linalg.norm(points - points[chosen[-1]], axis=1))
+    return chosen
+
+
+def plan_blocks(asking: list[tuple[int, int, float]], pivots: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int):
+    """Which query cells ask together, and which data cells each such block needs.
+
+    Many small blocks prune better, few large ones send each row less often. All
+    numbers of blocks that are powers of two are weighed: a row sent costs as
+    much as ``SEND_COST`` scores. ``asking`` has (cell, queries, largest distance);
+    the work is over summaries only. Returns (data cell, block, slices), (block,
+    parts) and (query cell, block).
+    """
+    if not asking:
+        return [], [], []
+    cells = np.array([c for c, _, _ in asking])
+    asked, far = np.array([n for _, n, _ in asking]), np.array([f for _, _, f in asking])
+    best, n = None, 1
+    while True:
+        n = min(n, len(cells))
+        centres = _spread_out(pivots[cells], n)
+        distance = np.linalg.norm(pivots[cells][:, None] - pivots[cells[centres]][None], axis=2)
+        home = distance.argmin(1)
+        cost, needs, parts = 0.0, [], []
+        for block, centre in enumerate(centres):
+            own = np.flatnonzero(home == block)
+            if not len(own):
+                continue
+            spread = float((distance[own, block] + far[own]).max())
+            wanted = needed_cells(pivots[cells[centre]], spread, pivots, radius, count, k)
+            queries = int(asked[own].sum())
+            sent = int(count[wanted].sum()) * (queries // QUERY_BLOCK + 1)
+            cost += sent * SEND_COST + queries * float(count[wanted].sum())
+            parts.append((block, queries // QUERY_BLOCK + 1))
+            needs += [(int(c), block, int(count[c]) // SLICE + 1) for c in wanted.tolist()]
+        if best is None or cost < best[0]:
+            best = cost, needs, parts, list(zip(cells.tolist(), home.tolist()))
+        if n == len(cells):
+            return best[1:]
+        n *= 2
+
+
 def _solve(k: int):
     def run(key: tuple[pa.Scalar, ...], data: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -125,21 +175,18 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     for r in summary:
         radius[r["cell"]], count[r["cell"]] = r["radius"], r["n"]
     asking = cells.where(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"])
-    per_cell = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"), F.max("far").alias("spread"))
-    # a query block: queries of one cell; its centre is the cell's pivot
-    needs, parts = [], []
-    for r in per_cell.collect():
-        parts.append((r["cell"], r["asked"] // QUERY_BLOCK + 1))
-        for cell in needed_cells(centres[r["cell"]].astype(np.float64), r["spread"], centres.astype(np.float64), radius, count, k).tolist():
-            needs.append((cell, r["cell"], int(count[cell]) // SLICE + 1))
+    per_cell = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"), F.max("far").alias("spread")).collect()
+    needs, parts, homes = plan_blocks([(r["cell"], r["asked"], r["spread"]) for r in per_cell], centres.astype(np.float64), radius, count, k)
+    if not needs:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    homes = spark.createDataFrame(homes, "cell int, block int")
     needs = spark.createDataFrame(needs, "cell int, block int, slices long")
-    parts = spark.createDataFrame(parts, "cell int, parts long")
+    parts = spark.createDataFrame(parts, "block int, parts long")
     spread = small_side(needs, SMALL_NEEDS)
     data = cells.join(spread, "cell").select("block", "cell", F.pmod(F.xxhash64("vec_id"), "slices").alias("slice"), "vec_id", "v")
     part = F.pmod(F.xxhash64("vec_id"), "parts")
-    blocks = parts.withColumnRenamed("cell", "block")
-    data = data.join(F.broadcast(blocks), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    queries = asking.select(F.col("cell").alias("block"), "vec_id", "v").join(F.broadcast(blocks), "block").withColumn("part", part.cast("int"))
+    data = data.join(F.broadcast(parts), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    queries = asking.join(F.broadcast(homes), "cell").select("block", "vec_id", "v").join(F.broadcast(parts), "block").withColumn("part", part.cast("int"))
     targets = needs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1))).select("block", "cell", F.col("slice").cast("bigint").alias("slice"))
     queries = queries.join(F.broadcast(targets) if targets.limit(SMALL_NEEDS + 1).count() <= SMALL_NEEDS else targets, "block")
     keys = ["block", "part", "cell", "slice"]
