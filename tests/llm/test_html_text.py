@@ -38,6 +38,17 @@ def test_blocks():
     assert list(H.leaf_blocks("")) == [] and list(H.leaf_blocks("<div><<<p")) != 0
 
 
+def test_scripts_and_open_heads_end():
+    texts = lambda page: [t for t, _, _ in H.leaf_blocks(page)]
+    assert texts("<p>a<script>for(i=0;i<n;i++){}</script><p>b") == ["a", "b"]
+    assert texts("<p>a<STYLE>x<y{}</Style ><p>b<script>'</scripts>'<z</script\n><p>c") == ["a", "b", "c"]
+    assert texts("<p>a<object><script>i<n</script></object>b<p>c<script>d") == ["ab", "c"]
+    assert texts("<html><head><meta charset=x><title>t</title><script>a<b</script><p>one<p>two") == ["one", "two"]
+    assert texts("<head><link href=x><a href=y>one</a><div>two</div>") == ["one", "two"]
+    assert texts("<head><title>t</title>one<p>two") == ["one", "two"]
+    assert texts("<head> <style>p{}</style> </head> <body>one") == ["one"]
+
+
 def test_viterbi_is_the_best_of_all():
     from itertools import product
 

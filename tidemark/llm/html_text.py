@@ -34,7 +34,11 @@ BLOCK_TAGS = frozenset(
     "html body div section article main nav header footer aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address details summary hr button select option menu dialog label center".split()
 )
-RAW_TAGS = frozenset("script style noscript template textarea title svg iframe object math canvas audio video head".split())
+RAW_TAGS = frozenset("script style noscript template textarea title svg iframe object math canvas audio video".split())
+#: Of these, those whose content holds no markup: only their own end tag ends them.
+_LITERAL_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for tag in "script style noscript textarea title iframe".split()}
+#: Start tags that can stand in a head; any other, and text, ends an open one.
+_HEAD_TAGS = frozenset("html head base basefont bgsound link meta title script style noscript template".split())
 _CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset(("ul", "ol", "dl", "table", "select"))
 _ENDS_P = BLOCK_TAGS - {"p", "button", "label", "option", "select"}
@@ -48,7 +52,7 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[tuple[str, tuple[str, ...
     """(text, ancestors, characters in links) of each block with text; an ancestor is (tag, its class and id words, its label)."""
     stack: list[tuple[str, tuple[str, ...], str | None]] = []
     text: list[str] = []
-    links, in_link, at, skip = 0, 0, 0, None
+    links, in_link, at, skip, head = 0, 0, 0, None, False
 
     def flush():
         nonlocal links
@@ -58,9 +62,10 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[tuple[str, tuple[str, ...
         links = 0
         return (found, held, links_now) if found else None
 
-    for m in _TAG.finditer(page):
+    while (m := _TAG.search(page, at)) is not None:
         if skip is None and m.start() > at:
             piece = references.unescape(page[at : m.start()])
+            head = head and not piece.strip()
             text.append(piece)
             if in_link:
                 links += len(piece.strip())
@@ -69,17 +74,27 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[tuple[str, tuple[str, ...
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m.group(1))
+        opens = not closing and not m.group(3).rstrip().endswith("/")
+        if tag in _LITERAL_ENDS:
+            if opens:
+                end = _LITERAL_ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
+            continue
         if skip is not None:
-            if closing and tag == skip or skip == "head" and tag == "body":
+            if closing and tag == skip:
                 skip = None
-                if tag != "body":
-                    continue
-            else:
-                continue
+            continue
         if tag in RAW_TAGS:
-            if not closing and not m.group(3).rstrip().endswith("/"):
+            if opens:
                 skip = tag
             continue
+        if tag == "head":
+            head = not closing
+            continue
+        if head:
+            if tag in _HEAD_TAGS or closing and tag not in ("body", "html"):
+                continue
+            head = False
         if tag == "a":
             in_link = 0 if closing else 1
             continue
