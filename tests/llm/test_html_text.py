@@ -38,6 +38,29 @@ def test_blocks():
     assert list(H.leaf_blocks("")) == [] and list(H.leaf_blocks("<div><<<p")) != 0
 
 
+def laid(page, how):
+    """A page of the table without its article element: in a named box, a plain one, or a layout table."""
+    before, inside, after = re.split("</?article[^>]*>", page)
+    start, end = {"named": ('<div class="post-content">', "</div>"), "plain": ("<div>", "</div>"), "td": ("<table><tr><td>", "</td></tr></table>")}[how]
+    return before + start + inside + end + after
+
+
+def test_pages_without_article_elements(spark):
+    rows = [r for r in spark.read.parquet(TABLE).orderBy("page_id").collect() if len(re.split("</?article[^>]*>", r.html)) == 3][:120]
+    for kinds in (("named",), ("plain",), ("td",), ("named", "plain", "td", None)):
+        shown = [(r, kinds[i % len(kinds)]) for i, r in enumerate(rows)]
+        pages = spark.createDataFrame([(r.page_id, r.url, laid(r.html, how) if how else r.html) for r, how in shown], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in H.extract(pages).collect()}
+        assert sum(got[r.page_id] == by_markup(r.html) for r, _ in shown) >= 0.95 * len(shown), kinds
+
+
+def test_no_page_says_anything():
+    field = H.Field().train(H.training_chains(["<div>a</div>", ""]))
+    texts = H._FIXED[1]
+    page = "<div id=menu><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div><div class=x>" + "".join(f"<p>{t}</p>" for t in texts) + "</div><div class=footer>&copy; us</div>"
+    assert H.main_text(page, field) == "\n\n".join(texts)
+
+
 def test_scripts_and_open_heads_end():
     texts = lambda page: [t for t, _, _ in H.leaf_blocks(page)]
     assert texts("<p>a<script>for(i=0;i<n;i++){}</script><p>b") == ["a", "b"]

@@ -6,10 +6,15 @@ ancestors, its length, link share and punctuation. The chain scores each block
 and each pair of neighbours as article or not, and Viterbi decoding picks the
 best labelling of the whole page.
 
-The field is trained on labelled pages: a bounded sample of the table whose
-markup says which blocks are the article's, and the same blocks set in other
-layouts (plain boxes, tables, sidebars, notices, forms, adverts, comments), so
-that no single tag decides. ``SAMPLE_PAGES`` bounds the sample.
+The field is trained on a bounded sample of the table (``SAMPLE_PAGES``), as the
+pages stand and with their blocks set in other layouts (plain boxes, tables,
+sidebars, notices, forms, adverts, comments), so that no single tag decides.
+A page's labels come from the first of these that it has: an article or main
+element; containers whose class or id has a word of ``_ARTICLE``; the box with
+the most running text (the last two if they hold at least ``LEAST_TEXT``
+characters). The last is a guess, and a page with none of them trains nothing.
+If no page of the sample has labels, the field is trained on ``_FIXED`` in
+``FIXED_LAYOUTS`` layouts.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES, SAMPLE_BYTES = 150, 60_000
-LAYOUTS = 8
+LAYOUTS, FIXED_LAYOUTS = 8, 200
+RICH_TEXT, LEAST_TEXT = 60, 140
 EPOCHS = 12
 
 #: Elements that start and end a block, those whose content is no text, and those that end an open one of a kind.
@@ -245,19 +251,61 @@ _NOT_ARTICLE = frozenset("ad ads advert advertisement banner sponsor promo sideb
 _ARTICLE = frozenset("article content post entry story main body text".split())
 
 
-def marked(ancestors: list) -> int:
-    """The label that a page's own markup gives: inside an article, and in no part of it that is something else."""
+#: Text for a table whose pages say nothing of where their articles are: a title, its paragraphs, and other parts of a page.
+_FIXED = (
+    "A short history of the lighthouse",
+    ["The first light on this coast was a fire of wood, kept on the hill above the harbour by the families who fished there.", "In 1790 a tower of stone took its place, and with it came a keeper, who was paid by the town and wrote down every ship that passed.", "Nobody knows who built it.", "The lamp burned oil until the end of the next century; after that it was lit by electricity, and the last keeper left in 1964.", "Today the tower is a small museum. Its books are still read by people who look for lost ships, and by those who study the weather of those years."],
+    ["Home", "About us", "Contact", "All news of this week", "Read our terms of use.", "Subscribe to the newsletter", "We use cookies to improve this site. By going on you agree to their use.", "Great post, thanks for sharing it with us!", "Buy two and get the third one free until Sunday.", "More from this site"],
+)
+_APART = frozenset("nav header footer aside form button select menu".split())
+
+
+def marked(ancestors: list, named: bool = False, box: tuple | None = None) -> int:
+    """The label that a page's own markup gives: inside an article, and in no part of it that is something else.
+
+    With ``named`` containers named like an article count as well; ``box`` is an ancestor that counts as one.
+    """
     inside = 0
-    for tag, names, label in ancestors:
+    for held in ancestors:
+        tag, names, label = held
         if label in ("0", "1"):
             inside = int(label)
-        elif tag in ("article", "main"):
+        elif tag in ("article", "main") or held is box:
             inside = 1
-        elif tag in ("nav", "header", "footer", "aside", "form", "button", "select", "menu") or _NOT_ARTICLE.intersection(names):
+        elif tag in _APART or _NOT_ARTICLE.intersection(names):
             inside = 0
+        elif named and tag not in ("html", "body") and _ARTICLE.intersection(names):
+            inside = 1
     return inside
 
 
+def _text_box(blocks: list) -> tuple | None:
+    """The ancestor with the most running text: whole sentences that are mostly no link and in no part marked as something else."""
+    boxes: dict[int, list] = {}
+    for text, ancestors, links in blocks:
+        if len(text) < RICH_TEXT or 3 * links > len(text) or text[-1] not in ".!?。…\"'»" or any(tag in _APART or _NOT_ARTICLE.intersection(names) for tag, names, _ in ancestors):
+            continue
+        # a paragraph's text is its box's; boxes side by side outweigh a single one in the box around them
+        own = [a for a in ancestors if a[0] not in ("p", "li", "blockquote", "pre", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl")][::-1]
+        for held, share in zip(own, (1.0, 0.6)):
+            boxes.setdefault(id(held), [0.0, held])[0] += share * len(text)
+    score, box = max(boxes.values(), key=lambda b: b[0], default=(0, None))
+    return box if score >= LEAST_TEXT else None
+
+
+def page_labels(blocks: list) -> list[int]:
+    """Labels of a page's blocks by its article elements, else its containers' names, else the box with the most text."""
+    labels = [marked(a) for _, a, _ in blocks]
+    if any(labels):
+        return labels
+    named = [marked(a, named=True) for _, a, _ in blocks]
+    # a name like post-title holds no article
+    if sum(len(t) for (t, _, _), y in zip(blocks, named) if y) >= LEAST_TEXT:
+        return named
+    box = _text_box(blocks)
+    return [marked(a, box=box) for _, a, _ in blocks] if box else labels
+
+
 def _relaid(draw: random.Random, title: str, paragraphs: list[str], other: list[str]) -> str:
     """The blocks of a page in another layout, with data-y marks."""
     pick = lambda n=1: [references.escape(draw.choice(other)) for _ in range(n)]
@@ -296,13 +344,16 @@ def training_chains(pages: list[str], layouts: int = LAYOUTS, seed: int = 0) ->
     draw, out, cut = random.Random(seed), [], []
     for page in pages:
         blocks = list(leaf_blocks(page))
-        labels = [marked(a) for _, a, _ in blocks]
+        labels = page_labels(blocks)
         if any(labels):
             out.append((blocks, labels))
         own = [t for (t, a, _), y in zip(blocks, labels) if y]
         cut.append((own, [t for (t, _, _), y in zip(blocks, labels) if not y]))
     loose = [t for _, other in cut for t in other if len(t) > 20] or ["More from this site.", "Read our terms of use."]
     texts = [t for own, _ in cut for t in own]
+    if not texts:
+        title, paragraphs, other = _FIXED
+        cut, texts, layouts = [([title, *paragraphs], other)], paragraphs, max(layouts, FIXED_LAYOUTS)
     for own, other in cut:
         if not own:
             continue
