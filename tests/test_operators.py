@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ledger, monitors, quality, search, selection, site
 from tidemark.operators.fdr import fdr_keep
 from tidemark.plans.skew import lookup_join
-from tidemark.sources import adapters, html, readers
+from tidemark.sources import adapters, changelog, html, readers
 
 SEARCH = "query STRING, page STRING, impressions BIGINT, clicks BIGINT, position DOUBLE"
 
@@ -213,6 +213,16 @@ def test_ledger_import_and_deploy(spark):
     assert [r["origin_ref"] for r in ledger.import_changes(new, after).collect()] == ["r3"]
 
 
+def test_equal_rows_of_a_change_log_all_count(spark):
+    rows = [("Deploy", "2026-09-01", "/a", k) for k in (1, 2, 2, 2, 3)]
+    log = spark.createDataFrame(rows, "title STRING, deployed_at STRING, pages STRING, task INT")
+    found = changelog.change_log(log, "log.csv", carry=["task"])
+    refs = [r["origin_ref"] for r in found.collect()]
+    assert len(set(refs)) == 5 and all(len(ref.rpartition(":")[2]) == 64 for ref in refs)
+    held = changelog.change_log(log.limit(2), "log.csv").select(F.col("origin_ref").alias("change_id"), F.lit(None).cast("string").alias("supersedes"), "origin_ref")
+    assert sorted(r["task"] for r in ledger.import_changes(found, held).collect()) == [2, 2, 3]
+
+
 def schema_names(schema):
     return [part.split(" ")[0] for part in schema.split(", ")]
 

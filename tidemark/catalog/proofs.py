@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import ledger, monitors, quality, selection
 from ..settings import SEARCH_CHANGE_TYPES
+from ..sources import changelog
 from .registry import query, rnd
 
 _DAY = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
@@ -147,6 +148,25 @@ def change_import(t):
     return ledger.import_changes(new, first.union(later), "1997-01-01").select("origin_ref")
 
 
+@query(
+    "change_log_import",
+    sql="""SELECT o_orderpriority AS title, CAST(o_orderdate AS DATE) AS live_date, '/c/' || (o_custkey % 10) AS pages, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS n
+FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01' GROUP BY 1, 2, 3 HAVING n > 0""",
+)
+def change_log_import(t):
+    """A log with equal rows, of which an earlier state is held: each row that was added is imported."""
+
+    def log(orders):
+        page = F.concat(F.lit("/c/"), (F.col("o_custkey") % 10).cast("string"))
+        rows = orders.select(F.col("o_orderpriority").alias("title"), page.alias("pages"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("deployed_at"))
+        return changelog.change_log(rows, "orders.csv")
+
+    none = F.lit(None).cast("string")
+    held = log(t("orders").where("o_orderkey % 3 = 0")).select(F.col("origin_ref").alias("change_id"), none.alias("supersedes"), "origin_ref")
+    fresh = ledger.import_changes(log(t("orders")), held, "1997-01-01")
+    return fresh.groupBy("title", F.to_date("live_at").alias("live_date"), F.array_join("pages", ",").alias("pages")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _TYPES = ", ".join(f"'{x}'" for x in SEARCH_CHANGE_TYPES)
 
 

@@ -68,13 +68,9 @@ def change_log(t):
         F.when(status != "P", day).otherwise("").alias("applied_at"),
     )
     keyed = rows.withColumn("notes", F.col("task"))
-    found = changelog.change_log(keyed, "orders.csv")
-    # the row's own id travels in the reference hash, so join back on it is not needed: recompute per row
-    from ..functions.text import row_hash
-
-    ids = keyed.select(F.col("task").cast("bigint").alias("id"), F.concat(F.lit("import:orders.csv:"), F.substring(row_hash(*[F.col(n) for n in keyed.columns]), 1, 12)).alias("origin_ref"))
-    return found.join(ids, "origin_ref").select(
-        "id", "type", "deploy_status", F.to_date("live_at").alias("live_date"), F.array_join("pages", ",").alias("pages")
+    found = changelog.change_log(keyed, "orders.csv", carry=["task"])
+    return found.select(
+        F.col("task").cast("bigint").alias("id"), "type", "deploy_status", F.to_date("live_at").alias("live_date"), F.array_join("pages", ",").alias("pages")
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import change_type, publication_type, task_type
@@ -35,11 +37,15 @@ def pages_in(text: Column) -> Column:
 
 
 def change_log(
-    rows: DataFrame, file: str, date_means: str | None = None, default_type: str = "other", origin: str = "manual", deploy_status: str | None = None
+    rows: DataFrame, file: str, date_means: str | None = None, default_type: str = "other", origin: str = "manual", deploy_status: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Change rows from a CSV change log (text columns with lower-case names).
 
-    A lone date column must be declared as ``deployed`` or ``applied``.
+    A lone date column must be declared as ``deployed`` or ``applied``. The
+    reference of a row is its whole hash and its number among equal rows, so a
+    log with rows appended keeps the references it had. ``carry`` names columns
+    of the log to hand on.
     """
     at = {role: next((n for n in names if n in rows.columns), None) for role, names in COLUMNS.items()}
     if not (at["deployed"] or at["applied"] or at["date"]):
@@ -56,16 +62,18 @@ def change_log(
     pages = pages_in(cell("pages"))
     label = F.concat_ws(" ", F.coalesce(or_null(cell("type")), F.lit("change")), F.array_join(pages, ", "))
     hashed = row_hash(*[F.col(f"`{n}`") for n in rows.columns])
-    return rows.select(
+    equal = Window.partitionBy("_hash").orderBy("_hash")
+    return rows.withColumn("_hash", hashed).select(
         F.regexp_replace(F.coalesce(or_null(F.trim(cell("title"))), label), r"\*\*", "").alias("title"),
         F.lit(origin).alias("origin"),
-        F.concat(F.lit(f"import:{file}:"), F.substring(hashed, 1, 12)).alias("origin_ref"),
+        F.concat(F.lit(f"import:{file}#"), F.row_number().over(equal).cast("string"), F.lit(":"), "_hash").alias("origin_ref"),
         change_type(F.concat_ws(" ", cell("type"), cell("title")), default_type).alias("type"),
         F.when(status == "deployed", deployed.try_cast("timestamp")).alias("live_at"),
         F.when(deployed.isNotNull(), "deploy_log").otherwise("unknown").alias("timestamp_basis"),
         status.alias("deploy_status"),
         applied.try_cast("timestamp").alias("applied_at"),
         pages.alias("pages"),
+        *[F.col(f"`{n}`") for n in carry],
     )
 
 
