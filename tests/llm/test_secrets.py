@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from tidemark.llm import secrets as S
 
@@ -30,6 +32,27 @@ def test_fixed_kinds_and_novel_strings(spark):
     assert novel[8] == ["Zx9Qw7Lk2Vb8Nm4Tr6Yp1"] and novel[9] == [] and novel[10] == []
 
 
+def test_long_strings_names_and_key_bodies():
+    draw, novelty = random.Random(3), S.Novelty()
+    make = lambda n, letters=string.ascii_letters + string.digits: "".join(draw.choice(letters) for _ in range(n))
+    found = lambda text: [text[a:b] for a, b in S.novel_spans(text, [], novelty)]
+    for n in (200, 201, 250, 1000, 20_000):
+        for letters in (string.ascii_letters + string.digits + "+/", string.digits + "ABCDEF"):
+            if n > 200 or len(letters) > 16:
+                long = make(n, letters)
+                assert found(f"The key for the service is {long} and nothing else.") == [long], n
+    for n in (2, 30, 100):
+        assert found("The key for the service is " + make(100) * n + " and nothing else.") == [] or n == 2
+    for name in ("secretKey", "accessKey", "privateKey", "APIKey", "api_keys", "tokens", "passWord", "apikey", "myAccessToken"):
+        one = make(32)
+        assert found(f"{name}: {one};") == [one], name
+    for name in ("monkeys", "author", "keyboard", "capital"):
+        assert found(f"{name}: {make(32)};") == [], name
+    lines = [make(64, string.ascii_letters + string.digits + "+/") for _ in range(12)]
+    assert found("-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n") == lines
+    assert found("word\n" + "\n".join(lines)) == []
+
+
 def test_digest_and_empty(spark):
     frame = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
     row = S.scan(frame).select(S.digest("base").alias("d"), S.joined("found").alias("s"), S.count("base", "assign").alias("n")).first()

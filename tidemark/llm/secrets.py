@@ -1,12 +1,22 @@
 """Secret scan: fixed kinds, and strings that stay new to a primed compressor.
 
 The fixed kinds are regular expressions. Novelty looks at other strings in a
-sensitive context: after a word such as key, token or credential, up to
-``REACH`` characters before. A candidate's marginal cost is the compressed
+sensitive context: after a word such as key, token or credential, which ends up
+to 40 characters before, on the same line or an earlier one. The word may be
+plural, a part of a camel-case name (secretKey, APIKey), or run together with
+others (apikey). Strings on the lines after such a string, with nothing but white
+space, quotes and backslashes between, are in its context and share its
+surroundings, as the lines of a key body do. A candidate's marginal cost is the compressed
 length of its surroundings with it, less the length without it, where zstandard
-is primed with a dictionary of identifiers and the surroundings come first. A
-string that costs at least ``LEAST_SHARE`` of its own bytes is incompressible
+is primed with a dictionary of identifiers and the surroundings come first. One of
+more than ``PIECE_OVER`` characters is measured in pieces, as the compressor
+learns the alphabet of a long string and then takes few bits for each character;
+a long string that repeats itself is not novel. A string that costs at least ``LEAST_SHARE`` of its own bytes is incompressible
 and is reported as kind ``novel``. Spans of the fixed kinds always stay.
+
+Left out: strings of fewer than 16 characters (the short last line of a key body
+too), strings of letters or of digits only, strings broken by other characters
+than those of base64 and identifiers, and strings without a sensitive word near.
 """
 
 from __future__ import annotations
@@ -32,10 +42,19 @@ KINDS = (
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _LONG_HEX = re.compile("[0-9a-f]{24}")
 NOVEL = "novel"
-_SENSITIVE = re.compile(r"(?<![a-z])(?:secret|token|passw(?:or)?d|credentials?|auth(?:orization)?|bearer|private|access|api|key)(?![a-z])[^\n]{0,40}$", re.ASCII | re.IGNORECASE)
+#: Words end at other characters, at the next capital of a camel-case name, and before the last capital of a run of them.
+_SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+    r"(?i:(?:(?:secret|token|passw(?:or)?d|credential|auth(?:orization)?|bearer|private|access|api|key)s?)+)"
+    r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))[\s\S]{0,40}\Z",
+    re.ASCII,
+)
 #: Strings that may be credentials: long, with letters and digits.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+#: Between strings of one body: an end of line, with indents and quotes.
+_NEXT_LINE = re.compile(r"[\s\"'\\]*\n[\s\"'\\]*")
 REACH, CONTEXT, LEAST_SHARE = 60, 200, 0.75
+PIECE_OVER, PIECE, LEAST_WHOLE = 200, 64, 0.45
 
 #: Primes the compressor: words and identifiers as they stand in code and configuration.
 IDENTIFIERS = b"""
@@ -68,6 +87,15 @@ class Novelty:
         without = len(self.compress(around + b" 0123456789 0000000000"))
         return (with_it - without) / len(candidate)
 
+    def novel(self, before: str, candidate: str, after: str) -> bool:
+        """Whether a candidate, or its pieces on average and the whole of it, costs enough."""
+        if len(candidate) <= PIECE_OVER:
+            return self.share(before, candidate, after) >= LEAST_SHARE
+        if self.share(before, candidate, after) < LEAST_WHOLE:
+            return False
+        pieces = [candidate[i : i + PIECE] for i in range(0, len(candidate), PIECE)]
+        return sum(self.share(before, p, after) * len(p) for p in pieces) >= LEAST_SHARE * len(candidate)
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of the fixed kinds; leftmost, not overlapping within a kind."""
@@ -81,7 +109,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _has_mixed(text: str) -> bool:
-    return any(w in text for w in ("key", "Key", "KEY", "oken", "OKEN", "ecret", "ECRET", "assw", "ASSW", "redential", "REDENTIAL", "uth", "UTH", "earer", "EARER", "rivate", "RIVATE", "ccess", "CCESS", "api", "API", "Api"))
+    low = text.lower()
+    return any(w in low for w in ("key", "token", "secret", "passw", "credential", "auth", "bearer", "private", "access", "api"))
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int]]:
@@ -89,12 +118,19 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
     out = []
     if not _has_mixed(text):
         return out
+    bodies: list[list[tuple[int, int]]] = []
     for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, _, b in taken) or not _SENSITIVE.search(text[max(0, start - REACH) : start]):
-            continue
-        if novelty.share(text[max(0, start - CONTEXT) : start], m.group(), text[end : end + CONTEXT]) >= LEAST_SHARE:
-            out.append((start, end))
+        if bodies and bodies[-1][-1][1] == gap and _NEXT_LINE.fullmatch(text, gap, m.start()):
+            bodies[-1].append(m.span())
+        elif _SENSITIVE.search(text, max(0, m.start() - REACH), m.start()):
+            bodies.append([m.span()])
+        gap = m.end()
+    for body in bodies:
+        first, last = body[0][0], body[-1][1]
+        before, after = text[max(0, first - CONTEXT) : first], text[last : last + CONTEXT]
+        for start, end in body:
+            if not any(a < end and start < b for a, _, b in taken) and novelty.novel(before, text[start:end], after):
+                out.append((start, end))
     return out
 
 
