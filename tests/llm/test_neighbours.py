@@ -38,6 +38,15 @@ def test_matches_all_pairs(spark, monkeypatch):
     assert kept == sorted({c for _, c, _ in got})
 
 
+def test_repeated_rows_are_one_text(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    x, y = " ".join(words), " ".join([*words, "end"])
+    for rows, limit in (([(1, x), (1, x), (2, y)], N.SMALL_MEMBERS), ([(None, x)] * 9 + [(2, y)] * 3 + [(3, y)], 0)):
+        monkeypatch.setattr(N, "SMALL_MEMBERS", limit)
+        got = N.similar_groups(frame(spark, rows)).collect()
+        assert len(got) == len(rows) and all(r.n_links == 1 and r.class_size == len(rows) for r in got)
+
+
 def test_many_pairs_in_one_tile():
     import numpy as np
 

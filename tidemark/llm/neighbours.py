@@ -340,10 +340,20 @@ def _grouped(source: DataFrame, threshold: float) -> DataFrame:
     sides = own.union(pairs.select("block", F.col("block").alias("low"), F.col("other").alias("high"), F.lit(0))).union(pairs.select(F.col("other").alias("block"), F.col("block").alias("low"), F.col("other").alias("high"), F.lit(1)))
     wanted = blocks.join(sides, "block").groupBy("node").agg(F.collect_list(F.struct("low", "high", "mine")).alias("pairs"))
     # a class is read from one of its texts: of equal sets any will do
-    owner = sketch.select("doc_id", "print", F.xxhash64("one", "two").alias("node")).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print")).alias("text"))
-    wanted = stored(wanted.join(owner, "node").select("node", "pairs", F.col("text.doc_id").alias("doc_id"), F.col("text.print").alias("print")))
-    chosen = small_side(wanted, SMALL_MEMBERS)
-    met = source.alias("s").join(chosen.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.print") == F.col("w.print"))).select("text", "node", "pairs")
+    rows = sketch.select("doc_id", "print", F.xxhash64("one", "two").alias("node")).groupBy("node", "doc_id", "print").agg(F.count(F.lit(1)).alias("alike"))
+    owner = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print", "alike")).alias("text"))
+    wanted = stored(wanted.join(owner, "node").select("node", "pairs", "text.doc_id", "text.print", "text.alike"))
+
+    def meet(some: DataFrame) -> DataFrame:
+        chosen = small_side(some, SMALL_MEMBERS)
+        return source.alias("s").join(chosen.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.print") == F.col("w.print"))).select("text", "node", "pairs")
+
+    repeats = wanted.where("alike > 1")
+    if repeats.isEmpty():
+        met = meet(wanted)
+    else:  # of repeated rows one is read; only their texts are shuffled, after each task has reduced its own
+        one = meet(repeats).groupBy("node").agg(F.first("text").alias("text"), F.first("pairs").alias("pairs"))
+        met = meet(wanted.where("alike = 1")).unionByName(one)
     payload = met.mapInArrow(_payload, "low long, high long, node long, mine int, minhash binary, shingles binary")
     compared = payload.repartition("low", "high").sortWithinPartitions("low", "high", "node").mapInArrow(_compare(threshold), "u long, v long, links long")
     compared = stored(compared)
