@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.ledger import append_open
@@ -27,3 +28,14 @@ def test_audit_findings_are_recorded_once(spark):
     ledger = spark.createDataFrame([(k, "open") for k in keys], "dedupe_key STRING, status STRING")
     assert append_open(findings, ledger).isEmpty()
     assert append_open(findings, ledger.withColumn("status", F.lit("dismissed"))).count() == len(keys)
+
+
+@pytest.mark.parametrize("name", ["control_pages_all_days", "planned_controls_all_days", "new_and_lost_all_days", "rank_changes_all_days", "rank_summary_all_days"])
+def test_queries_of_all_days_equal_their_sql(spark, name):
+    from check_catalog import compare
+
+    from tidemark.catalog import load
+
+    registry = load()
+    assert "DATE '1995-01-02'" in registry.CHECKS[name] and "2001-07-" not in registry.CHECKS[name]
+    assert compare(spark, "/root/testdata/sf0.001", name, registry.QUERIES[name], registry.CHECKS[name])[0] == "equal"

@@ -260,13 +260,13 @@ def _page_days(t):
     return t("detail_rows").withColumn("source_id", F.lit("gsc"))
 
 
-def _control_requests(t):
-    """One request per ten market pages whose click rate changed, over the short windows."""
+def _control_requests(t, before=("2001-04-23", "2001-07-29"), after=("2001-07-30", "2001-11-04")):
+    """One request per ten market pages whose click rate changed, over the short windows or others."""
     pages = t("detail_rows").select("page").distinct().where(F.col("page").endswith("3"))
     grouped = pages.groupBy(F.regexp_extract("page", r"^/(..)/", 1).alias("request_id")).agg(F.array_sort(F.collect_list("page")).alias("pages"))
     day = lambda d: F.lit(d).cast("date")
     return grouped.withColumns(
-        {"source_id": F.lit("gsc"), "before_start": day("2001-04-23"), "before_end": day("2001-07-29"), "after_start": day("2001-07-30"), "after_end": day("2001-11-04")}
+        {"source_id": F.lit("gsc"), "before_start": day(before[0]), "before_end": day(before[1]), "after_start": day(after[0]), "after_end": day(after[1])}
     )
 
 
@@ -309,6 +309,36 @@ def planned_controls(t):
     return chosen.select("request_id", "page", "before_impressions", "rank")
 
 
+def _all_days(sql: str) -> str:
+    """SQL of the short windows, over the two windows that together cover every row."""
+    for short, whole in (("2001-04-23", BEFORE[0]), ("2001-07-29", BEFORE[1]), ("2001-07-30", AFTER[0]), ("2001-11-04", AFTER[1])):
+        sql = sql.replace(short, whole)
+    return sql
+
+
+@query(
+    "control_pages_all_days",
+    views=("detail_rows",),
+    sql=f"WITH {_CHANGED}, {_all_days(_CONTROL)} SELECT request_id, page, before_impressions, CAST(rank AS INT) AS rank FROM cp WHERE rank <= 200",
+)
+def control_pages_all_days(t):
+    chosen = control.control_pages(_page_days(t), _control_requests(t, BEFORE, AFTER), _changed(t), limit=200)
+    return chosen.select("request_id", "page", "before_impressions", "rank")
+
+
+@query(
+    "planned_controls_all_days",
+    views=("detail_rows",),
+    sql=f"""WITH {_CHANGED}, w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) AS b FROM detail_rows WHERE {_B} GROUP BY page),
+ch AS (SELECT DISTINCT page FROM changed WHERE {_B})
+SELECT m AS request_id, page, CAST(b AS BIGINT) AS before_impressions, CAST(row_number() OVER (PARTITION BY m ORDER BY b DESC, page) AS INT) AS rank FROM w
+ WHERE page NOT LIKE '%3' AND page NOT IN (SELECT page FROM ch)""",
+)
+def planned_controls_all_days(t):
+    chosen = control.control_pages(_page_days(t), _control_requests(t, BEFORE, AFTER), _changed(t), planning=True)
+    return chosen.select("request_id", "page", "before_impressions", "rank")
+
+
 def _did_daily(t):
     rows = compare.label_windows(t("detail_rows"), BEFORE, AFTER)
     role = F.when(F.col("page").endswith("3"), "treated").otherwise("control")
