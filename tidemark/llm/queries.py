@@ -153,3 +153,91 @@ def html_text(spark, folder):
     from .html_text import extract
 
     return extract(table(spark, folder, "pages"))
+
+
+def _merkle_sql(levels: int = 5, upper: int = 3) -> str:
+    """The manifest with runs of 16: ``levels`` levels per source and ``upper`` above, enough for 16^levels rows a source."""
+    bit = "xor(c, 0)"
+    for _ in range(8):
+        bit = f"list_reduce([{bit}, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    enc = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([enc("doc_id"), enc("source"), enc("lang"), enc("n_chars"), text]) + ")"
+    lower = enc("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    crc = bit.replace("xor(c, 0)", "xor(c, b)")
+    parts = [
+        f"""t AS (SELECT doc_id, source, {leaf(enc('text'))} AS leaf, {leaf(lower)} AS low,
+ xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: {crc}), 4294967295) % 5 = 0 AS hit
+FROM documents)""",
+        "l0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, doc_id, leaf AS h, CASE WHEN hit THEN low ELSE leaf END AS x FROM t)",
+    ]
+    runs = lambda name, old, key: f"{name} AS (SELECT {key}i // 16 AS i, list(h ORDER BY i) AS m, CASE WHEN count(*) OVER (PARTITION BY {key or '1, '}0) = 1 AND count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {old} GROUP BY {key}i // 16)"
+    for n in range(levels):
+        parts.append(runs(f"l{n + 1}", f"l{n}", "source, "))
+    parts.append(f"u0 AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h FROM l{levels})")
+    for n in range(upper):
+        parts.append(runs(f"u{n + 1}", f"u{n}", ""))
+    joins, steps = [], []
+    for n in range(levels):
+        joins.append(f"JOIN l{n + 1} ON l{n + 1}.source IS NOT DISTINCT FROM l0.source AND l{n + 1}.i = l0.i // {16 ** (n + 1)}")
+        steps.append((f"l{n + 1}.m", f"l0.i // {16**n} % 16"))
+    joins.append("JOIN u0 ON u0.source IS NOT DISTINCT FROM l0.source")
+    for n in range(upper):
+        joins.append(f"JOIN u{n + 1} ON u{n + 1}.i = u0.i // {16 ** (n + 1)}")
+        steps.append((f"u{n + 1}.m", f"u0.i // {16**n} % 16"))
+    text = lambda m: f"array_to_string({m}, '')"
+    proof = " || ".join(f"{text(f'{m}[1:{s}]')} || {text(f'{m}[{s} + 2:]')}" for m, s in steps)
+    path = ", ".join(f"{{'l': {text(f'{m}[1:{s}]')}, 'r': {text(f'{m}[{s} + 2:]')}, 'x': ''}}" for m, s in steps)
+    parts.append(f"p AS (SELECT l0.doc_id, l0.h AS leaf, l{levels}.h AS subroot, u{upper}.h AS root, sha256({proof}) AS proof_sha256, l0.x, [{path}] AS path FROM l0 {' '.join(joins)})")
+    fold = "list_reduce(list_prepend({'l': '', 'r': '', 'x': x}, path), lambda a, b: {'l': '', 'r': '', 'x': CASE WHEN b.l = '' AND b.r = '' THEN a.x ELSE sha256(b.l || a.x || b.r) END}).x"
+    parts.append(f"f AS (SELECT doc_id, leaf, subroot, root, proof_sha256, {fold} AS folded_root FROM p)")
+    return "WITH " + ",\n".join(parts) + "\nSELECT *, folded_root = root AS verified FROM f"
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark, folder):
+    from .manifest import every_fifth, lower_ascii, merkle_manifest as run
+
+    docs = table(spark, folder, "documents")
+    return run(docs, changed={"text": lower_ascii(F.col("text"))}, when=every_fifth(F.col("doc_id"))).drop("source", "path")
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    def near(n: int) -> str:
+        gap = "CAST(list_sum(list_transform(list_zip(w.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+        return f"a{n} AS (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT w.vec_id, c.cluster, {gap} AS d FROM w, c{n} c) GROUP BY vec_id)"
+
+    parts = [
+        """w AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v FROM w QUALIFY cluster < {k})",
+        near(0),
+    ]
+    for n in range(rounds):
+        parts += [
+            f"s{n} AS (SELECT cluster, j, sum(x) AS s, count(*) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{n} JOIN w USING (vec_id)) GROUP BY cluster, j)",
+            f"n{n} AS (SELECT cluster, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY j) AS v FROM s{n} GROUP BY cluster)",
+            f"c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(n{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN n{n} USING (cluster))",
+            near(n + 1),
+        ]
+    own = "CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, {own}, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"
+
+
+@query("op12_centroid_clusters", _clusters_sql())
+def centroid_clusters(spark, folder):
+    from .simplex import clusters
+
+    return clusters(table(spark, folder, "embeddings")).drop("compared")
+
+
+@query(
+    "op13_warc",
+    """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM g""",
+)
+def warc(spark, folder):
+    from .archives import archive_pages
+
+    return archive_pages(table(spark, folder, "pages"))
