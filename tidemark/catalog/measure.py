@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import trailing_windows
 from ..operators import compare, confidence, control, metrics, monitors, quality, selection
-from .registry import query, rnd
+from .registry import also, query, rnd
 from .tables import AFTER, AFTER_DAYS, BEFORE, BEFORE_DAYS
 
 _B = f"date BETWEEN DATE '{BEFORE[0]}' AND DATE '{BEFORE[1]}'"
@@ -260,20 +260,20 @@ def _page_days(t):
     return t("detail_rows").withColumn("source_id", F.lit("gsc"))
 
 
-def _control_requests(t, before=("2001-04-23", "2001-07-29"), after=("2001-07-30", "2001-11-04")):
-    """One request per ten market pages whose click rate changed, over the short windows or others."""
+def _control_requests(t):
+    """One request per market for the tenth of its pages whose click rate changed."""
     pages = t("detail_rows").select("page").distinct().where(F.col("page").endswith("3"))
     grouped = pages.groupBy(F.regexp_extract("page", r"^/(..)/", 1).alias("request_id")).agg(F.array_sort(F.collect_list("page")).alias("pages"))
     day = lambda d: F.lit(d).cast("date")
     return grouped.withColumns(
-        {"source_id": F.lit("gsc"), "before_start": day(before[0]), "before_end": day(before[1]), "after_start": day(after[0]), "after_end": day(after[1])}
+        {"source_id": F.lit("gsc"), "before_start": day(BEFORE[0]), "before_end": day(BEFORE[1]), "after_start": day(AFTER[0]), "after_end": day(AFTER[1])}
     )
 
 
-_CONTROL = """w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) FILTER (WHERE date BETWEEN DATE '2001-04-23' AND DATE '2001-07-29') AS b,
- count(*) FILTER (WHERE date BETWEEN DATE '2001-07-30' AND DATE '2001-11-04') AS a FROM detail_rows GROUP BY page),
+_CONTROL = f"""w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) FILTER (WHERE date BETWEEN DATE '{BEFORE[0]}' AND DATE '{BEFORE[1]}') AS b,
+ count(*) FILTER (WHERE date BETWEEN DATE '{AFTER[0]}' AND DATE '{AFTER[1]}') AS a FROM detail_rows GROUP BY page),
 tr AS (SELECT page FROM w WHERE page LIKE '%3'),
-ch AS (SELECT DISTINCT page FROM changed WHERE date BETWEEN DATE '2001-04-23' AND DATE '2001-11-04'),
+ch AS (SELECT DISTINCT page FROM changed WHERE date BETWEEN DATE '{BEFORE[0]}' AND DATE '{AFTER[1]}'),
 cp AS (SELECT m AS request_id, page, CAST(b AS BIGINT) AS before_impressions, row_number() OVER (PARTITION BY m ORDER BY b DESC, page) AS rank FROM w
  WHERE b IS NOT NULL AND a > 0 AND page NOT IN (SELECT page FROM tr) AND page NOT IN (SELECT page FROM ch))"""
 _CHANGED = "changed AS (SELECT CAST(o_orderdate AS DATE) AS date, '/ec/part-' || (o_orderkey % 997) AS page FROM orders UNION ALL SELECT CAST(o_orderdate AS DATE), '/sm/part-' || (o_orderkey % 991) FROM orders)"
@@ -298,8 +298,8 @@ def control_pages(t):
 @query(
     "planned_controls",
     views=("detail_rows",),
-    sql=f"""WITH {_CHANGED}, w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) AS b FROM detail_rows WHERE date BETWEEN DATE '2001-04-23' AND DATE '2001-07-29' GROUP BY page),
-ch AS (SELECT DISTINCT page FROM changed WHERE date BETWEEN DATE '2001-04-23' AND DATE '2001-07-29')
+    sql=f"""WITH {_CHANGED}, w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) AS b FROM detail_rows WHERE {_B} GROUP BY page),
+ch AS (SELECT DISTINCT page FROM changed WHERE {_B})
 SELECT m AS request_id, page, CAST(b AS BIGINT) AS before_impressions, CAST(row_number() OVER (PARTITION BY m ORDER BY b DESC, page) AS INT) AS rank FROM w
  WHERE page NOT LIKE '%3' AND page NOT IN (SELECT page FROM ch)""",
 )
@@ -309,34 +309,8 @@ def planned_controls(t):
     return chosen.select("request_id", "page", "before_impressions", "rank")
 
 
-def _all_days(sql: str) -> str:
-    """SQL of the short windows, over the two windows that together cover every row."""
-    for short, whole in (("2001-04-23", BEFORE[0]), ("2001-07-29", BEFORE[1]), ("2001-07-30", AFTER[0]), ("2001-11-04", AFTER[1])):
-        sql = sql.replace(short, whole)
-    return sql
-
-
-@query(
-    "control_pages_all_days",
-    views=("detail_rows",),
-    sql=f"WITH {_CHANGED}, {_all_days(_CONTROL)} SELECT request_id, page, before_impressions, CAST(rank AS INT) AS rank FROM cp WHERE rank <= 200",
-)
-def control_pages_all_days(t):
-    chosen = control.control_pages(_page_days(t), _control_requests(t, BEFORE, AFTER), _changed(t), limit=200)
-    return chosen.select("request_id", "page", "before_impressions", "rank")
-
-
-@query(
-    "planned_controls_all_days",
-    views=("detail_rows",),
-    sql=f"""WITH {_CHANGED}, w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) AS b FROM detail_rows WHERE {_B} GROUP BY page),
-ch AS (SELECT DISTINCT page FROM changed WHERE {_B})
-SELECT m AS request_id, page, CAST(b AS BIGINT) AS before_impressions, CAST(row_number() OVER (PARTITION BY m ORDER BY b DESC, page) AS INT) AS rank FROM w
- WHERE page NOT LIKE '%3' AND page NOT IN (SELECT page FROM ch)""",
-)
-def planned_controls_all_days(t):
-    chosen = control.control_pages(_page_days(t), _control_requests(t, BEFORE, AFTER), _changed(t), planning=True)
-    return chosen.select("request_id", "page", "before_impressions", "rank")
+also("control_pages_all_days", "control_pages")
+also("planned_controls_all_days", "planned_controls")
 
 
 def _did_daily(t):

@@ -24,6 +24,12 @@ def query(name: str, *, views: tuple[str, ...] = (), sql: str | None = None):
     return register
 
 
+def also(name: str, query_name: str) -> None:
+    """Keep an earlier name of a query."""
+    QUERIES[name] = QUERIES[query_name]
+    CHECKS[name] = CHECKS[query_name]
+
+
 def rnd(expression: str, digits: int) -> str:
     """SQL for rounding half towards plus infinity."""
     factor = f"{float(10 ** digits)}"

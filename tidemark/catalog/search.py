@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as s
-from .registry import keep_sql, movement_sql, query, rnd, totals_sql, cdf_sql
+from .registry import also, keep_sql, movement_sql, query, rnd, totals_sql, cdf_sql
 from .tables import AFTER, AFTER_DAYS, BEFORE, BEFORE_DAYS
 
 _AFTER_SQL = f"date BETWEEN DATE '{AFTER[0]}' AND DATE '{AFTER[1]}'"
@@ -177,33 +177,20 @@ def movement_summary(t):
     return s.movement_summary(_page_moves(t))
 
 
-_SHORT = (("2001-04-23", "2001-07-29"), ("2001-07-30", "2001-11-04"))
-
-
 @query(
     "new_and_lost",
     views=("detail_rows",),
-    sql=f"""WITH {movement_sql('detail_rows', 'page, country', *_SHORT, 98, 98)},
+    sql=f"""WITH {movement_sql('detail_rows', 'page, country', BEFORE, AFTER, BEFORE_DAYS, AFTER_DAYS)},
 r AS (SELECT *, coalesce(after_impressions, before_impressions) AS impressions FROM moves WHERE movement IN ('new', 'lost')),
 n AS (SELECT *, row_number() OVER (PARTITION BY movement ORDER BY impressions DESC, page, country) AS rank FROM r)
 SELECT movement, CAST(rank AS INT) AS rank, page, country, impressions FROM n WHERE rank <= 10""",
 )
 def new_and_lost(t):
-    moves = s.period_movement(t("detail_rows"), *_SHORT, ["page", "country"], normalize=False)
+    moves = s.period_movement(t("detail_rows"), BEFORE, AFTER, ["page", "country"], normalize=False)
     return s.new_and_lost(moves, ["page", "country"]).select("movement", "rank", "page", "country", "impressions")
 
 
-@query(
-    "new_and_lost_all_days",
-    views=("detail_rows",),
-    sql=f"""WITH {movement_sql('detail_rows', 'page, country', BEFORE, AFTER, BEFORE_DAYS, AFTER_DAYS)},
-r AS (SELECT *, coalesce(after_impressions, before_impressions) AS impressions FROM moves WHERE movement IN ('new', 'lost')),
-n AS (SELECT *, row_number() OVER (PARTITION BY movement ORDER BY impressions DESC, page, country) AS rank FROM r)
-SELECT movement, CAST(rank AS INT) AS rank, page, country, impressions FROM n WHERE rank <= 10""",
-)
-def new_and_lost_all_days(t):
-    moves = s.period_movement(t("detail_rows"), BEFORE, AFTER, ["page", "country"], normalize=False)
-    return s.new_and_lost(moves, ["page", "country"]).select("movement", "rank", "page", "country", "impressions")
+also("new_and_lost_all_days", "new_and_lost")
 
 
 _TESTED = "tested AS (SELECT * FROM moves WHERE movement NOT IN ('new', 'lost') AND greatest(before_clicks, after_clicks) >= 5)"
@@ -281,7 +268,7 @@ def rank_proxy(t):
     return s.rank_proxy(t("search_rows"), AFTER, normalize=False).drop("serp_features", "observed_at", "provider")
 
 
-def _rank_pairs(t, windows=_SHORT):
+def _rank_pairs(t):
     rows = t("search_rows")
     features = F.array_compact(
         F.array(F.when(F.col("impressions") % 2 == 0, F.lit("people_also_ask")), F.when(F.col("impressions") % 3 == 0, F.lit("video")))
@@ -290,7 +277,7 @@ def _rank_pairs(t, windows=_SHORT):
         s.rank_proxy(rows, window, top_queries=None, normalize=False)
         .withColumn("position", F.when(F.col("impressions") % 5 != low, F.floor(F.col("position") * F.col("impressions") % 37)))
         .withColumn("serp_features", features)
-        for window, low in ((windows[0], 0), (windows[1], 1))
+        for window, low in ((BEFORE, 0), (AFTER, 1))
     )
     return s.rank_changes(before, after)
 
@@ -300,8 +287,7 @@ def _rank_side(window: tuple[str, str], low: int) -> str:
  impressions % 2 = 0 AS paa, impressions % 3 = 0 AS video FROM ({_proxy_sql(window)}) o"""
 
 
-def _ranks_sql(windows) -> str:
-    return f"""WITH b AS ({_rank_side(windows[0], 0)}), a AS ({_rank_side(windows[1], 1)}),
+_RANKS = f"""WITH b AS ({_rank_side(BEFORE, 0)}), a AS ({_rank_side(AFTER, 1)}),
 j AS (SELECT coalesce(a.keyword, b.keyword) AS keyword, coalesce(a.location, b.location) AS location, b.position AS previous_position, a.position AS current_position,
  b.keyword IS NOT NULL AS had, a.keyword IS NOT NULL AS has, b.url AS previous_url, a.url AS current_url, a.position - b.position AS d,
  coalesce(a.paa, false) AND NOT coalesce(b.paa, false) AS p_add, coalesce(a.video, false) AND NOT coalesce(b.video, false) AS v_add,
@@ -312,9 +298,6 @@ m AS (SELECT *, CASE WHEN NOT has THEN 'not_observed' WHEN previous_position IS
 """
 
 
-_RANKS = _ranks_sql(_SHORT)
-
-
 @query(
     "rank_changes",
     views=("search_rows",),
@@ -337,26 +320,8 @@ def rank_summary(t):
     return s.movement_summary(_rank_pairs(t))
 
 
-@query(
-    "rank_changes_all_days",
-    views=("search_rows",),
-    sql=_ranks_sql((BEFORE, AFTER))
-    + """SELECT keyword, location, previous_position, current_position, movement, CASE WHEN has THEN CAST(d AS DOUBLE) END AS delta,
- coalesce(had AND has AND previous_url <> current_url, false) AS url_changed, coalesce(has AND (movement = 'lost' OR d >= 10), false) AS alert,
- CASE WHEN has THEN concat_ws('|', CASE WHEN p_add THEN 'people_also_ask' END, CASE WHEN v_add THEN 'video' END) END AS features_added,
- CASE WHEN has THEN concat_ws('|', CASE WHEN p_del THEN 'people_also_ask' END, CASE WHEN v_del THEN 'video' END) END AS features_removed FROM m""",
-)
-def rank_changes_all_days(t):
-    joined = lambda name: F.array_join(name, "|").alias(name)
-    return _rank_pairs(t, (BEFORE, AFTER)).select(
-        "keyword", "location", "previous_position", "current_position", "movement", "delta", "url_changed", "alert",
-        joined("features_added"), joined("features_removed"),
-    )
-
-
-@query("rank_summary_all_days", views=("search_rows",), sql=_ranks_sql((BEFORE, AFTER)) + "SELECT movement, count(*) AS n FROM m GROUP BY movement")
-def rank_summary_all_days(t):
-    return s.movement_summary(_rank_pairs(t, (BEFORE, AFTER)))
+also("rank_changes_all_days", "rank_changes")
+also("rank_summary_all_days", "rank_summary")
 
 
 @query(
