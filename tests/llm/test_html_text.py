@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from tidemark.llm import html_text as H
 
@@ -95,3 +98,31 @@ def test_edges(spark):
     got = H.extract(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 4 and sum(r.n_chars == 0 for r in got) >= 3
     assert H.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+MEGABYTE = 1 << 20
+HOSTILE = {
+    "tags": "<a" * (MEGABYTE // 2), "blanks": "<p>hi</p><a" + " " * MEGABYTE + '"x', "quotes": "<a " + '"' * MEGABYTE, "mixed quotes": "<a \"'" * (MEGABYTE // 5),
+    "declarations": "<!" * (MEGABYTE // 2), "comments": "<!--" * (MEGABYTE // 4), "open quotes": '<p class="' * (MEGABYTE // 10), "unmatched": "<div>" * (MEGABYTE // 10) + "</p>" * (MEGABYTE // 10),
+    "brackets": "<" * MEGABYTE, "scripts": "<script>" * (MEGABYTE // 8),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    started = time.process_time()
+    list(H.leaf_blocks(HOSTILE[name]))
+    assert time.process_time() - started < 5
+
+
+def test_deep_pages():
+    deep = "<div>x" * 5000
+    assert len(list(H.leaf_blocks(deep))) == 5000 and max(len(a) for _, a, _ in H.leaf_blocks(deep)) == H.DEPTH
+    assert isinstance(H.main_text(deep, H.Field()), str)
+
+
+def test_broken_tags():
+    texts = lambda page: [t for t, _, _ in H.leaf_blocks(page)]
+    assert texts('<p title="x>Second</p><p>Third</p>') == ["Second", "Third"]
+    assert texts("a <b and c < d <p>x</p>") == ["a <b and c < d", "x"]
+    assert texts("<p title=\"a > b\">ok</p><p data-x=\"<i>\" class='z'>fine</p>") == ["ok", "fine"]

@@ -23,7 +23,7 @@ import html as references
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,11 +49,84 @@ _CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _SCOPES = frozenset(("ul", "ol", "dl", "table", "select"))
 _ENDS_P = BLOCK_TAGS - {"p", "button", "label", "option", "select"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+|/|"[^"]*"|'[^']*'|[^>"'\s/])*)>""", re.DOTALL)
+#: Open elements that are kept apart; deeper ones count as their neighbours, as browsers have it.
+DEPTH = 512
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: A tag with no tag inside its quotes, as nearly all are; it looks no further than the next "<".
+_USUAL = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>""")
+_PLAIN = re.compile(r"""[^"'<>]*+""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|data-y|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 
 
+class _Next:
+    """Where a string occurs next; no part of the page is searched twice."""
+
+    def __init__(self, page: str, wanted: str):
+        self.page, self.wanted, self.at = page, wanted, -1
+
+    def after(self, start: int) -> int:
+        """The first place at or after ``start``, or the page's length. ``start`` should not go back."""
+        if self.at < start:
+            found = self.page.find(self.wanted, start)
+            self.at = len(self.page) if found < 0 else found
+        return self.at
+
+
+class _Tags:
+    """The tags of a page in one pass over it.
+
+    A quote whose partner does not come before the next tag is a plain character,
+    and a tag that is not closed ends where the next one begins. One without
+    attributes is then taken for text, as in ``a <b``.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open, self.close = _Next(page, "<"), _Next(page, ">")
+        self.inner = _Next(page, "<")
+        self.quotes = {q: _Next(page, q) for q in "\"'"}
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """Start, end, name (None for comments and declarations), whether it closes, and attributes of the next tag."""
+        page = self.page
+        while (start := self.open.after(at)) < len(page):
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, None, False, ""
+            if page[start + 1 : start + 2] in ("!", "?"):
+                if (end := self.close.after(start)) < len(page):
+                    return start, end + 1, None, False, ""
+                at = start + 1
+                continue
+            if (usual := _USUAL.match(page, start)) is not None:
+                return start, usual.end(), usual.group(2), usual.group(1) == "/", usual.group(3)
+            name = _NAME.match(page, start)
+            if name is None:
+                at = start + 1
+                continue
+            end, whole = self._end(name.end())
+            attributes = page[name.end() : end]
+            if whole or "=" in attributes:
+                return start, end + whole, name.group(1), page[start + 1] == "/", attributes
+            at = end
+        return None
+
+    def _end(self, at: int) -> tuple[int, bool]:
+        """Where a tag's attributes end, and whether a bracket is there."""
+        page = self.page
+        while True:
+            at = _PLAIN.match(page, at).end()
+            mark = page[at : at + 1]
+            if mark in (">", "<", ""):
+                return at, mark == ">"
+            end = self.quotes[mark].after(at + 1)
+            if end == len(page) or self.inner.after(at) < end and (page[end + 1 : end + 2] not in (" ", "\n", "\t", "\r", "/", ">") or page[end - 1] == "="):
+                at += 1
+            else:
+                at = end + 1
+
+
 def leaf_blocks(page: str) -> Iterator[tuple[str, list[tuple[str, tuple[str, ...], str | None]], int]]:
     """(text, ancestors, characters in links) of each block with text; an ancestor is (tag, its class and id words, its label)."""
     stack: list[tuple[str, tuple[str, ...], str | None]] = []
@@ -68,23 +141,30 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[tuple[str, tuple[str, ...
         links = 0
         return (found, held, links_now) if found else None
 
-    while (m := _TAG.search(page, at)) is not None:
-        if skip is None and m.start() > at:
-            piece = references.unescape(page[at : m.start()])
+    tags, depth = _Tags(page), Counter()
+
+    def shut(i: int) -> None:
+        for gone, _, _ in stack[i:]:
+            depth[gone] -= 1
+        del stack[i:]
+
+    while (found := tags.next(at)) is not None:
+        start, end, tag, closing, attributes = found
+        if skip is None and start > at:
+            piece = references.unescape(page[at:start])
             head = head and not piece.strip()
             text.append(piece)
             if in_link:
                 links += len(piece.strip())
-        at = m.end()
-        tag = m.group(2)
+        at = end
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m.group(1))
-        opens = not closing and not m.group(3).rstrip().endswith("/")
+        tag = tag.lower()
+        opens = not closing and not attributes.rstrip().endswith("/")
         if tag in _LITERAL_ENDS:
             if opens:
-                end = _LITERAL_ENDS[tag].search(page, at)
-                at = end.end() if end else len(page)
+                ended = _LITERAL_ENDS[tag].search(page, at)
+                at = ended.end() if ended else len(page)
             continue
         if skip is not None:
             if closing and tag == skip:
@@ -112,29 +192,30 @@ def leaf_blocks(page: str) -> Iterator[tuple[str, list[tuple[str, tuple[str, ...
             yield block
         in_link = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if depth[tag]:
+                shut(max(i for i, held in enumerate(stack) if held[0] == tag))
             continue
         ends = _CLOSES.get(tag, ()) if tag != "p" else ("p",)
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in ends or (stack[i][0] == "p" and tag in _ENDS_P):
-                del stack[i:]
+                shut(i)
                 break
             if stack[i][0] in _SCOPES or stack[i][0] not in ("p", *ends):
                 break
         if tag == "hr":
             continue
         words, label = [], None
-        if m.group(3):
-            for a in _ATTRIBUTE.finditer(m.group(3)):
+        if attributes:
+            for a in _ATTRIBUTE.finditer(attributes):
                 value = (a.group(2) or a.group(3) or a.group(4) or "").lower()
                 if a.group(1).lower() == "data-y":
                     label = value
                 else:
                     words += _WORD.findall(value)
+        if len(stack) == DEPTH:
+            shut(DEPTH - 1)
         stack.append((tag, tuple(words), label))
+        depth[tag] += 1
     if skip is None and at < len(page):
         text.append(references.unescape(page[at:]))
     if (block := flush()) is not None:
@@ -370,16 +451,28 @@ def training_chains(pages: list[str], layouts: int = LAYOUTS, seed: int = 0) ->
 
 
 def main_text(page: str | None, field: Field) -> str:
-    blocks = list(leaf_blocks(page or ""))
-    chain = [features(t, a, n, i, len(blocks)) for i, (t, a, n) in enumerate(blocks)]
-    return "\n\n".join(t for (t, _, _), y in zip(blocks, field.decode(chain)) if y)
+    texts, chain, held = [], [], None
+    for block in leaf_blocks(page or ""):  # ancestors are not kept: a deep page has many
+        if held is not None:
+            chain.append(features(*held, len(chain), len(chain) + 2))
+        texts.append(block[0])
+        held = block
+    if held is not None:
+        chain.append(features(*held, len(chain), len(chain) + 1))
+    return "\n\n".join(t for t, y in zip(texts, field.decode(chain)) if y)
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Field:
-    """A field trained on the sample: pages of up to ``SAMPLE_BYTES``, first by a hash of the id."""
-    sample = pages.where(F.octet_length(F.col(f"`{html_col}`")) <= SAMPLE_BYTES).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.xxhash64(F.col(f"`{html_col}`")).alias("g"), F.col(f"`{html_col}`").alias("html"))
-    rows = sample.orderBy("h", "g").limit(SAMPLE_PAGES).collect()
-    return Field().train(training_chains([r["html"] for r in rows]))
+    """A field trained on the sample: different pages of up to ``SAMPLE_BYTES``, first by a hash of the id.
+
+    The keys of the sample are chosen first, so that only its own pages travel to the driver.
+    """
+    html = F.col(f"`{html_col}`")
+    keyed = pages.where(F.octet_length(html) <= SAMPLE_BYTES).select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.xxhash64(html).alias("g"), html.alias("html"))
+    keys = keyed.select("h", "g").distinct().orderBy("h", "g").limit(SAMPLE_PAGES)
+    chosen = keyed.sparkSession.createDataFrame(keys.collect(), "h long, g long")
+    rows = keyed.join(F.broadcast(chosen), ["h", "g"]).groupBy("h", "g").agg(F.first("html").alias("html")).collect()
+    return Field().train(training_chains([r["html"] for r in sorted(rows, key=lambda r: (r["h"], r["g"]))]))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
