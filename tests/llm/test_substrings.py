@@ -44,3 +44,10 @@ def test_frequent_seed_is_split(spark, monkeypatch):
     base = " ".join(f"v{i}" for i in range(90)).split()
     rows = [(i, " ".join(base[: draw.randrange(55, 90)] + [f"t{draw.randrange(5)}"] * 3 + base)) for i in range(20)]
     assert run(spark, rows) == repeats(rows)
+
+
+def test_equal_rows_are_read_once(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, "x " + text), (9, "y " + text)] + [(5, text)] * 10_000
+    got = run(spark, rows)
+    assert got == repeats(rows[:3])[:1] + [repeats(rows[:3])[1]] * 10_000 + repeats(rows[:3])[2:]

@@ -30,6 +30,8 @@ _SEED_BASE, _WINDOW_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _PLACE = np.uint64((1 << 24) - 1)
 #: Occurrences of a seed per part; seeds with more are split by window hash.
 PART_ROWS = 20_000
+#: Rows that a task remembers having read, so that equal ones are read once.
+REMEMBERED_ROWS = 100_000
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,13 +85,23 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The window hashes at each shared seed of a document, split into parts where the seed is frequent."""
+    """The window hashes at each shared seed of a document, split into parts where the seed is frequent.
+
+    Rows with the same id and text have the same windows, so a task reads one of
+    those it remembers; should another task read one too, the marks are the same.
+    """
+    read: set[tuple[int, int]] = set()
     for rows in batches:
         data, offsets = text_bytes(rows.column("text"))
         out: list[tuple] = []
         for i in np.flatnonzero(rows.column("runs").is_valid().to_numpy(zero_copy_only=False)).tolist():
-            hashes = _window_hashes(data[offsets[i] : offsets[i + 1]])
             doc, mark = rows.column("doc_id")[i].as_py(), rows.column("print")[i].as_py()
+            if (doc, mark) in read:
+                continue
+            if len(read) == REMEMBERED_ROWS:
+                read.clear()
+            read.add((doc, mark))
+            hashes = _window_hashes(data[offsets[i] : offsets[i + 1]])
             runs = rows.column("runs")[i].values
             columns = [runs.field(k).to_numpy() for k in range(4)]
             for start, count, seed, many in zip(*(c.tolist() for c in columns)):
@@ -197,10 +209,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("print"), F.coalesce(text, F.lit("")).alias("text"))
     seeds = stored(source.where("doc_id is not null").mapInArrow(_find_seeds, "seed long, doc_id long, print long, start int, count int"))
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("many")).where("least < most").select("seed", "many")
-    runs = seeds.join(shared, "seed").groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "count", "seed", "many")).alias("runs"))
+    runs = seeds.join(shared, "seed").groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "count", "seed", "many")).alias("runs"))
     # a left join here as below, so that both read one exchange of the texts
     windows = source.join(runs, ["doc_id", "print"], "left").select("doc_id", "print", "text", "runs").mapInArrow(_extend, "seed long, part int, doc_id long, print long, start int, which int, windows binary")
     marks = windows.repartition("seed", "part").sortWithinPartitions("seed", "part", "doc_id").mapInArrow(_compare, "doc_id long, print long, start int, mask int")
-    marks = marks.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    marks = marks.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>" + (", kept string" if texts else "")
     return source.join(marks, ["doc_id", "print"], "left").select("doc_id", "text", "marks").mapInArrow(_cut(texts), schema)
