@@ -19,12 +19,13 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, text_bytes
+from .common import CHUNK_BYTES, chunks, giving_back, text_bytes
 
 #: Distinct words, and pieces between spaces, whose encoding a worker remembers; memory bounds, not limits of the result.
 REMEMBERED_WORDS = 120_000
@@ -286,6 +287,10 @@ def encoder(spec: str) -> Encoder:
     return _HELD[key]
 
 
+def _lists(rows: tuple[np.ndarray, ...]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (if asked for), ids_sha256, decoded, decoded_sha256.
 
@@ -312,14 +317,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 for text in texts:
                     found = tool.run(text)
                     back = tool.automaton.emit(found)
-                    more = (list(map(int, found.split(","))) if found else [], back) if ids else ()
+                    more = (np.fromstring(found, np.int32, sep=","), back) if ids else ()
                     out.append((found.count(",") + bool(found), hashlib.sha256(found.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *more))
                 tool.forget(fresh)
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, types[1:]))], names=[n for n, _ in types])
-        tool.words.clear()  # a worker that is used again for other work gets its memory back
+                columns = [_lists(c) if n == "ids" else pa.array(c, t) for c, (n, t) in zip(zip(*out), types[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[n for n, _ in types])
+        tool.words.clear()
         tool.pieces.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
     picked = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(giving_back(run), schema)

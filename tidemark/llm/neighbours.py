@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, powers, run_hashes, small_side, stored, text_bytes, word_bounds, word_hashes
+from .common import chunks, giving_back, mix, powers, run_hashes, small_side, stored, text_bytes, word_bounds, word_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -321,7 +321,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _grouped(source: DataFrame, threshold: float) -> DataFrame:
     """The groups of the texts with words, with a hash of each text."""
-    sketch = stored(source.mapInArrow(_sketch, "doc_id long, print long, one long, two long, bands array<long>"))
+    sketch = stored(source.mapInArrow(giving_back(_sketch), "doc_id long, print long, one long, two long, bands array<long>"))
     classes = stored(sketch.groupBy("one", "two").agg(F.min("doc_id").alias("copy_id"), F.min("print").alias("print"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("one", "two")))
     bands = classes.select("node", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
@@ -354,8 +354,8 @@ def _grouped(source: DataFrame, threshold: float) -> DataFrame:
     else:  # of repeated rows one is read; only their texts are shuffled, after each task has reduced its own
         one = meet(repeats).groupBy("node").agg(F.first("text").alias("text"), F.first("pairs").alias("pairs"))
         met = meet(wanted.where("alike = 1")).unionByName(one)
-    payload = met.mapInArrow(_payload, "low long, high long, node long, mine int, minhash binary, shingles binary")
-    compared = payload.repartition("low", "high").sortWithinPartitions("low", "high", "node").mapInArrow(_compare(threshold), "u long, v long, links long")
+    payload = met.mapInArrow(giving_back(_payload), "low long, high long, node long, mine int, minhash binary, shingles binary")
+    compared = payload.repartition("low", "high").sortWithinPartitions("low", "high", "node").mapInArrow(giving_back(_compare(threshold)), "u long, v long, links long")
     compared = stored(compared)
     labels = components(compared.where("links = 0").select("u", "v"))
     degrees = compared.where("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, text_bytes
+from .common import CHUNK_BYTES, chunks, giving_back, text_bytes
 
 FOLDS = 5
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 6000, 20_000
@@ -217,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held_out = (F.col(f"`{id_col}`").isNotNull() & (F.crc32(F.encode(name, "UTF-8")) % FOLDS == 0)).alias("held_out")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("_text"), held_out)
     kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(run, f"row {kind}, held_out boolean, score double, predicted int")
+    return packed.mapInArrow(giving_back(run), f"row {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
