@@ -3,6 +3,6 @@
 
 def load():
     """The registry with every query module imported."""
-    from . import measure, proofs, records, registry, search, site  # noqa: F401
+    from . import measure, proofs, records, registry, search, site, streams  # noqa: F401
 
     return registry

@@ -31,11 +31,13 @@ def monitor_requests(monitors: DataFrame, metrics: DataFrame, sources: DataFrame
     )
 
 
-def evaluate_monitors(monitors: DataFrame, compared: DataFrame, broken: DataFrame | None = None, down: DataFrame | None = None) -> DataFrame:
+def evaluate_monitors(
+    monitors: DataFrame, compared: DataFrame, broken: DataFrame | None = None, down: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Outcome of each rule: alert needs every guard, a tracking break alerts on its own.
 
-    ``compared`` has one comparison per monitor_id with data_quality and
-    min_sample; ``broken`` lists monitors whose after window drops to zero,
+    ``compared`` has one comparison per monitor_id, or per monitor_id and the
+    ``keep`` columns, with data_quality and min_sample; ``broken`` lists monitors whose after window drops to zero,
     ``down`` those whose source cannot be read.
     """
     c = F.col
@@ -70,7 +72,7 @@ def evaluate_monitors(monitors: DataFrame, compared: DataFrame, broken: DataFram
     kind = F.when(vanished, "tracking_break").when((F.size("_failed") == 0) & ~unusable, "threshold_breach")
     tested = rows.withColumn("_failed", failed)
     return tested.select(
-        "monitor_id", outcome.alias("outcome"), kind.alias("kind"),
+        "monitor_id", *keep, outcome.alias("outcome"), kind.alias("kind"),
         F.when(kind == "tracking_break", "high").when(kind.isNotNull(), F.coalesce("severity", F.lit("medium"))).alias("severity"),
         "before_value", "after_value", "delta_abs", "delta_pct", "statistic",
         F.when(outcome == "quiet", F.array_join("_failed", ",")).alias("failed_guards"),

@@ -1,15 +1,9 @@
-"""Incremental ingest, daily series and monitors as Structured Streaming jobs."""
+"""Sources and daily series of Structured Streaming jobs; see ``pulls`` for ingest and ``alerts`` for monitors."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-
-from ..operators.ledger import append_open
-from ..sources.snapshots import snapshot_headers
 
 
 def read_new_files(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -20,27 +14,12 @@ def read_new_files(spark: SparkSession, path: str, schema: str, max_files: int |
     return reader.parquet(path)
 
 
-def ingest(stream: DataFrame, facts_path: str, headers_path: str, now: Callable[[], Column], checkpoint: str) -> DataStreamWriter:
-    """Append each batch to the facts and its headers to the snapshots.
-
-    Both writes go to a folder per batch, so a batch that runs again after a
-    failure replaces its own files instead of adding to them.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{facts_path}/batch={batch_id}")
-        written = batch.sparkSession.read.parquet(f"{facts_path}/batch={batch_id}")
-        snapshot_headers(written, now()).write.mode("overwrite").parquet(f"{headers_path}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
 def daily_counts(
     events: DataFrame, time: str = "ts", metric: str = "event_type", value: str | None = None, late: str = "2 days", key: str | None = "event_id"
 ) -> DataFrame:
     """Value per metric and day; repeated events are dropped, days close after the lateness limit.
 
-    Days restated later than that arrive as a new pull and replace the day in batch.
+    Where days may be restated later than that, see :mod:`tidemark.streaming.pulls`.
     """
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     if key is not None:
@@ -48,31 +27,3 @@ def daily_counts(
     total = F.sum(value) if value else F.count(F.lit(1))
     grouped = timed.groupBy(F.window(time, "1 day").alias("day"), F.col(metric).alias("series")).agg(total.alias("value"))
     return grouped.select(F.to_date("day.start").alias("date"), "series", "value")
-
-
-def latest_days(restated: DataFrame, keys: Sequence[str] = ("series", "date")) -> DataFrame:
-    """Of several emitted values of a day the one of the last batch."""
-    return restated.groupBy(*keys).agg(F.max(F.struct("batch", "value")).alias("_v")).select(*keys, F.col("_v.value").alias("value"))
-
-
-def watch(
-    daily: DataFrame, daily_path: str, alerts_path: str, evaluate: Callable[[DataFrame], DataFrame], checkpoint: str
-) -> DataStreamWriter:
-    """Store each batch of changed days, evaluate the monitors on all days, append alerts that are not open.
-
-    ``evaluate`` maps the daily table to monitor outcomes. A replayed batch
-    rewrites its own days, and the anti-join on open alerts adds nothing new.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{daily_path}/batch={batch_id}")
-        days = latest_days(spark.read.option("basePath", daily_path).parquet(daily_path))
-        alerts = evaluate(days).where("outcome = 'alert'").withColumn("dedupe_key", F.concat(F.lit("monitor:"), F.col("monitor_id")))
-        fresh = alerts.withColumn("status", F.lit("open")).select("dedupe_key", "monitor_id", "kind", "severity", "status")
-        known = spark.createDataFrame([], fresh.schema)
-        if batch_id > 0:
-            known = spark.read.option("basePath", alerts_path).parquet(alerts_path).where(F.col("batch") < batch_id).drop("batch")
-        append_open(fresh, known).write.mode("overwrite").parquet(f"{alerts_path}/batch={batch_id}")
-
-    return daily.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
