@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import confidence, ledger, monitors, quality, selection
+from ..operators import compaction, confidence, ledger, monitors, quality, selection
+from ..session import ensure_checkpoint_dir
 from ..sources import changelog
 from .registry import query, rnd
 from .tables import VIEWS
@@ -286,3 +289,26 @@ def unknown_changes(t):
     registry = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("change_id"))
     requests = t("orders").select(F.col("o_orderkey").alias("request_id"), F.array("o_orderkey").alias("change_ids"))
     return confidence.unknown_changes(registry, requests)
+
+
+@query(
+    "compacted_parts",
+    sql="""SELECT l_returnflag AS source_id, strftime(l_shipdate, '%Y') AS month, count(*) AS n_rows, CAST(sum(l_quantity) AS DOUBLE) AS quantity, count(DISTINCT l_suppkey) AS pulls
+FROM lineitem WHERE l_suppkey % 10 <> 3 GROUP BY 1, 2""",
+)
+def compacted_parts(t):
+    """A store of many small files, compacted under its headers without the pruned pulls, and read back."""
+    rows = t("lineitem").select(
+        F.col("l_suppkey").cast("string").alias("snapshot_id"), F.col("l_returnflag").alias("source_id"), F.date_format("l_shipdate", "yyyy").alias("month"),
+        F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("value"), "l_orderkey", "l_linenumber",
+    )
+    ensure_checkpoint_dir(t.spark)
+    root = f"{t.spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4()}"
+    compaction.create(rows.repartition(3), root)
+    parts = ["source_id", "month"]
+    headers = compaction.pull_digests(rows, parts).select("snapshot_id", F.col("rows").alias("row_count"), F.col("digest").alias("rows_hash"))
+    pruned = rows.where(F.col("snapshot_id").cast("bigint") % 10 == 3).select("snapshot_id").distinct()
+    compaction.compact(t.spark, root, headers, pruned)
+    return compaction.read(t.spark, root).groupBy("source_id", "month").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("value").cast("double").alias("quantity"), F.countDistinct("snapshot_id").alias("pulls")
+    )
