@@ -14,6 +14,7 @@ table are filled when first used: all of it would have billions of entries.
 
 from __future__ import annotations
 
+import array
 import gc
 import hashlib
 import json
@@ -25,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, giving_back, text_bytes
+from .common import chunks, give_back, giving_back, text_bytes
 
 #: Distinct words, and pieces between spaces, whose encoding a worker remembers; memory bounds, not limits of the result.
-REMEMBERED_WORDS = 120_000
-REMEMBERED_PIECES = 200_000
+REMEMBERED_WORDS = 60_000
+REMEMBERED_PIECES = 120_000
 #: Longer pieces are encoded but not remembered.
 REMEMBERED_LENGTH = 64
 
@@ -50,12 +51,12 @@ class MergeAutomaton:
     def __init__(self, spec: dict):
         model = spec["model"]
         as_byte = byte_characters()
-        self.id_of = {bytes(as_byte[c] for c in token): number for token, number in model["vocab"].items() if all(c in as_byte for c in token)}
-        self.text_of = {token: f"{number}," for token, number in self.id_of.items()}
-        self.label = {number: token for token, number in self.id_of.items()}
+        id_of = {bytes(as_byte[c] for c in token): number for token, number in model["vocab"].items() if all(c in as_byte for c in token)}
+        self.text_of = {token: f"{number}," for token, number in id_of.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.label |= {number: content.encode() for content, number in self.special.items()}
-        self.label_of = {str(number): label for number, label in self.label.items()}
+        labels = {number: token for token, number in id_of.items()} | {number: content.encode() for content, number in self.special.items()}
+        self.label_of = {str(number): label for number, label in labels.items()}
+        shared = {token: token for token in id_of}  # one object per token, whatever table holds it
         self.born: dict[bytes, int] = {bytes([b]): -1 for b in range(256)}
         self.left: dict[bytes, bytes] = {}
         self.right: dict[bytes, bytes] = {}
@@ -63,51 +64,51 @@ class MergeAutomaton:
         self.rows: dict[bytes, dict[bytes, bool]] = {}
         for rank, pair in enumerate(model["merges"]):
             u, v = (bytes(as_byte[c] for c in part) for part in (pair if isinstance(pair, list) else pair.split(" ")))
-            self._gadget(u, v, rank)
+            self._gadget(shared.get(u, u), shared.get(v, v), shared.get(u + v, u + v), rank)
         self._tables()
 
     def _tables(self) -> None:
         """Byte transitions: each node is a prefix of some label; its labels are those that end there, longest first."""
-        self.step: list[dict[int, int]] = [{}]
-        self.fail = [0]
+        step: dict[int, int] = {}
+        self.step = step  # node * 256 + byte -> node
+        self.fail = array.array("i", [0])
         own: list[bytes | None] = [None]
-        for label in self.born:
+        layer: list[tuple[int, int]] = []  # (entry, node), by depth
+        for label in sorted(self.born, key=len):
             node = 0
             for byte in label:
-                if byte not in self.step[node]:
-                    self.step[node][byte] = len(own)
-                    self.step.append({})
-                    self.fail.append(0)
+                entry = node * 256 + byte
+                node = step.get(entry, -1)
+                if node < 0:
+                    node = step[entry] = len(own)
                     own.append(None)
-                node = self.step[node][byte]
+                    self.fail.append(0)
+                    layer.append((entry, node))
             own[node] = label
+        # a node's parent comes before it, and nodes that end in it are deeper: labels sorted by length give that order
         self.ending: list[tuple[bytes, ...]] = [()] * len(own)
-        layer = list(self.step[0].values())
-        for node in layer:
-            self.ending[node] = (own[node],)
-        while layer:
-            deeper = []
-            for node in layer:
-                for byte, child in self.step[node].items():
-                    back = self.fail[node]
-                    while back and byte not in self.step[back]:
-                        back = self.fail[back]
-                    back = self.fail[child] = self.step[back].get(byte, 0)
-                    self.ending[child] = ((own[child],) if own[child] else ()) + self.ending[back]
-                    deeper.append(child)
-            layer = deeper
+        depth = array.array("i", [0] * len(own))
+        for entry, node in layer:
+            depth[node] = depth[entry >> 8] + 1
+        for entry, node in sorted(layer, key=lambda x: depth[x[1]]):
+            parent, byte = entry >> 8, entry & 255
+            if parent:
+                back = self.fail[parent]
+                while back and back * 256 + byte not in step:
+                    back = self.fail[back]
+                self.fail[node] = step.get(back * 256 + byte, 0)
+            self.ending[node] = ((own[node],) if own[node] else ()) + self.ending[self.fail[node]]
 
     def _fall(self, node: int, byte: int) -> int:
         """The transition where no label goes on; written into the table."""
         back = self.fail[node]
-        while back and byte not in self.step[back]:
+        while back and back * 256 + byte not in self.step:
             back = self.fail[back]
-        found = self.step[node][byte] = self.step[back].get(byte, 0)
+        found = self.step[node * 256 + byte] = self.step.get(back * 256 + byte, 0)
         return found
 
-    def _gadget(self, u: bytes, v: bytes, rank: int) -> None:
+    def _gadget(self, u: bytes, v: bytes, made: bytes, rank: int) -> None:
         self.cut[(u, v)] = rank
-        made = u + v
         if made not in self.born:
             self.born[made], self.left[made], self.right[made] = rank, u, v
 
@@ -160,7 +161,7 @@ class MergeAutomaton:
             node = nodes[-1]
             for j in range(same + 1, len(word) + 1):
                 byte = word[j - 1]
-                node = step[node].get(byte, -1)
+                node = step.get(node * 256 + byte, -1)
                 if node < 0:
                     node = self._fall(nodes[-1], byte)
                 nodes.append(node)
@@ -283,6 +284,7 @@ def encoder(spec: str) -> Encoder:
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = Encoder(spec)
+        give_back()
         gc.freeze()  # the collector need not walk the tables
     return _HELD[key]
 
@@ -309,7 +311,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         tool = encoder(spec.value)
         for rows in batches:
             _, offsets = text_bytes(rows.column(1))
-            for first, last in chunks(offsets, 2 * CHUNK_BYTES):
+            for first, last in chunks(offsets):
                 part = rows.slice(first, last - first)
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 fresh = tool.learn(texts)

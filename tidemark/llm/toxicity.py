@@ -127,6 +127,10 @@ class Classifier:
             packed = compressor.multi_compress_to_buffer(windows)
             yield np.fromiter((len(packed[i]) for i in range(len(packed))), np.int64, len(packed))
 
+    def rest(self) -> None:
+        """Drop the compressors; they are made again when next needed."""
+        self._compressors = None
+
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: a constant, the largest gain, numbers of windows by gain and toxic length, and the number of windows, scaled."""
         place: dict[str, int] = {}
@@ -212,6 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 part = rows.slice(a, b - a)
                 scores = model.value.scores(column.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["row", "held_out", "score", "predicted"])
+        model.value.rest()
 
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("x"))
     held_out = (F.col(f"`{id_col}`").isNotNull() & (F.crc32(F.encode(name, "UTF-8")) % FOLDS == 0)).alias("held_out")
