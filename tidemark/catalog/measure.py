@@ -242,6 +242,33 @@ def grain_choice(t):
     return best.select("request_id", "label", "grain", "covered")
 
 
+_WINDOWS = (("1995-03-01", "1996-02-29"), ("1997-01-01", "2000-12-31"), ("2000-07-01", "2001-12-31"))
+
+
+@query(
+    "selected_rows",
+    views=("pulls",),
+    sql="""WITH w AS (SELECT * FROM (VALUES (0, DATE '1995-03-01', DATE '1996-02-29'), (1, DATE '1997-01-01', DATE '2000-12-31'), (2, DATE '2000-07-01', DATE '2001-12-31')) v(n, a, b)),
+c AS (SELECT country, n, a, b, pull_id, count(DISTINCT date) AS covered, max(retrieved_at) AS latest FROM pulls JOIN w ON date BETWEEN a AND b GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY country, n ORDER BY covered DESC, latest DESC) AS rn FROM c),
+s AS (SELECT r.country, r.n, count(*) AS n_rows, CAST(sum(clicks) AS BIGINT) AS clicks FROM r JOIN pulls p ON p.country = r.country AND p.pull_id = r.pull_id AND p.date BETWEEN r.a AND r.b WHERE rn = 1 GROUP BY 1, 2)
+SELECT c_custkey AS request_id, n_rows, clicks FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN s ON s.country = n_name AND s.n = c_custkey % 3""",
+)
+def selected_rows(t):
+    """One request per customer over a few windows per source: each window is selected and summed once."""
+    headers, facts = _snapshots(t)
+    none = F.array().cast("array<string>")
+    spans = F.array(*[F.struct(*[F.lit(d).cast("date").alias(n) for d, n in zip(w, ("period_start", "period_end"))]) for w in _WINDOWS])
+    asked = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("request_id"), F.lit("only").alias("label"), F.col("n_name").alias("source_id"), F.lit("gsc_rows").alias("kind"), none.alias("require"), none.alias("exclude"),
+        F.element_at(spans, (F.col("c_custkey") % 3 + 1).cast("int")).alias("w"),
+    )
+    asked = selection.with_window(asked.select("*", "w.*").drop("w"))
+    found = selection.window_slices(selection.distinct_windows(asked), headers, selection.slice_index(facts))
+    sums = selection.select_rows(facts, found, ["window_id"]).groupBy("window_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks"))
+    return asked.join(sums, "window_id").select("request_id", "n_rows", "clicks")
+
+
 @query(
     "latest_two",
     views=("pulls",),

@@ -2,6 +2,9 @@
 
 Selection works on headers and on a slice index (distinct pull x day x series
 x segment), never on the fact rows. The facts are joined once, at the end.
+It is done once per distinct window (source, kind, period and dimensions), so a
+million requests over ten windows cost ten selections; headers meet windows
+through time buckets.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import page_key
 from ..session import cut_lineage
+from .intervals import overlap_join
 
 REQUEST = ("request_id", "label")
 _SLICE = ("snapshot_id", "date", "series", "segment")
@@ -35,11 +39,6 @@ def slice_index(facts: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def overlaps(start: Column, end: Column) -> Column:
-    """The header's period touches the request's."""
-    return (F.col("snapshot_start") <= end) & (F.col("snapshot_end") >= start)
-
-
 def eligible(dimensions: Column) -> Column:
     """All required dimensions present, none of the excluded ones."""
     has_all = F.size(F.array_except("require", dimensions)) == 0
@@ -60,8 +59,8 @@ def candidates(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.to_json(F.array_sort(F.map_entries(F.coalesce("filters", F.create_map().cast("map<string,string>"))))).alias("filters"),
         "headline_safe",
     )
-    joined = requests.join(headers, ["source_id", "kind"])
-    fits = overlaps(F.col("period_start"), F.col("period_end")) & eligible(F.col("dimensions"))
+    joined = overlap_join(requests, headers, ["source_id", "kind"], ("period_start", "period_end"), ("snapshot_start", "snapshot_end"))
+    fits = eligible(F.col("dimensions"))
     grain = F.array_join(F.array_sort("dimensions"), ",")
     return joined.where(fits).withColumns({"grain": grain, "dated": F.array_contains("dimensions", "date")})
 
@@ -100,19 +99,22 @@ def slice_owners(dated: DataFrame, slices: DataFrame, keys: Sequence[str] = REQU
     return owned.select(*keys, "date", F.col("owner_series").alias("series"), "segment", F.col("owner.snapshot_id").alias("snapshot_id"))
 
 
-def select_slices(requests: DataFrame, snapshots: DataFrame, slices: DataFrame) -> DataFrame:
-    """Slices that answer each request.
+def with_window(requests: DataFrame) -> DataFrame:
+    """``requests`` with ``window_id``, which requests that select alike share."""
+    alike = F.struct("source_id", "kind", "period_start", "period_end", F.array_sort("require").alias("require"), F.array_sort("exclude").alias("exclude"))
+    return requests.withColumn("window_id", F.sha2(F.to_json(alike, {"ignoreNullFields": "false"}), 256))
 
-    ``requests`` has request_id, label, source_id, kind, period_start,
-    period_end, require, exclude and optionally ``attempt``: of several
-    attempts of a request the first with rows counts. The result has
-    ``expect_daily`` (false for an undated pull of exactly the period).
+
+def window_slices(windows: DataFrame, snapshots: DataFrame, slices: DataFrame) -> DataFrame:
+    """Slices that answer each distinct window: window_id, the slice, grain and expect_daily.
+
+    ``windows`` has window_id, source_id, kind, period_start, period_end,
+    require and exclude. ``expect_daily`` is false for an undated pull of exactly
+    the period.
     """
-    if "attempt" not in requests.columns:
-        requests = requests.withColumn("attempt", F.lit(0))
-    keys = [*REQUEST, "attempt"]
+    keys = ["window_id"]
     # headers and chosen grains are small and read several times below
-    found = cut_lineage(candidates(requests, snapshots))
+    found = cut_lineage(candidates(windows, snapshots))
     dated = found.where("dated")
     best = cut_lineage(choose_grain(grain_coverage(dated, slices, keys), keys))
     chosen = dated.join(best.select(*keys, "grain"), [*keys, "grain"])
@@ -126,15 +128,39 @@ def select_slices(requests: DataFrame, snapshots: DataFrame, slices: DataFrame)
     )
     undated = exact.join(slices, "snapshot_id").withColumn("expect_daily", F.lit(False))
     columns = [*keys, *_SLICE, "grain", "expect_daily"]
-    every = owned.select(*columns).unionByName(undated.select(*columns))
-    first = every.groupBy(*REQUEST).agg(F.min("attempt").alias("attempt"))
-    return every.join(first, [*REQUEST, "attempt"])
+    return owned.select(*columns).unionByName(undated.select(*columns))
+
+
+def distinct_windows(asked: DataFrame) -> DataFrame:
+    """The windows of requests with window_id, each once."""
+    return asked.select("window_id", "source_id", "kind", "period_start", "period_end", "require", "exclude").dropDuplicates(["window_id"])
+
+
+def select_slices(requests: DataFrame, snapshots: DataFrame, slices: DataFrame) -> DataFrame:
+    """Slices that answer each request.
+
+    ``requests`` has request_id, label, source_id, kind, period_start,
+    period_end, require, exclude and optionally ``attempt``: of several
+    attempts of a request the first with rows counts. Requests that share a
+    window share its selection; the result has a row per request and slice, so
+    callers with very many requests should join :func:`window_slices` instead.
+    """
+    if "attempt" not in requests.columns:
+        requests = requests.withColumn("attempt", F.lit(0))
+    asked = cut_lineage(with_window(requests))
+    found = cut_lineage(window_slices(cut_lineage(distinct_windows(asked)), snapshots, slices))
+    tried = asked.select(*REQUEST, "attempt", "window_id").distinct()
+    first = tried.join(found.select("window_id").distinct(), "window_id").groupBy(*REQUEST).agg(F.min("attempt").alias("attempt"))
+    columns = [*REQUEST, "attempt", *_SLICE, "grain", "expect_daily"]
+    return tried.join(first, [*REQUEST, "attempt"]).join(found, "window_id").select(*columns)
 
 
 def selection_notes(requests: DataFrame, snapshots: DataFrame, selected: DataFrame) -> DataFrame:
     """Why a request has no rows: no pull covers it, or only undated pulls of other periods do."""
     empty = requests.select(*REQUEST).distinct().join(selected.select(*REQUEST).distinct(), list(REQUEST), "left_anti")
-    seen = candidates(requests, snapshots).groupBy(*REQUEST).agg(F.bool_or("dated").alias("dated"))
+    asked = with_window(requests)
+    seen = candidates(distinct_windows(asked), snapshots).groupBy("window_id").agg(F.bool_or("dated").alias("dated"))
+    seen = asked.join(seen, "window_id").groupBy(*REQUEST).agg(F.bool_or("dated").alias("dated"))
     note = F.when(F.col("dated").isNull(), "no snapshot covers this period").when(
         ~F.col("dated"), "only undated snapshots with a different period exist"
     )
