@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import compaction, confidence, ledger, monitors, quality, selection
+from ..operators import integrity as checks
 from ..session import ensure_checkpoint_dir
 from ..sources import changelog
 from .registry import query, rnd
@@ -312,3 +313,33 @@ def compacted_parts(t):
     return compaction.read(t.spark, root).groupBy("source_id", "month").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("value").cast("double").alias("quantity"), F.countDistinct("snapshot_id").alias("pulls")
     )
+
+
+@query(
+    "integrity",
+    sql="""WITH o AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 89 = 0 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 83 = 0),
+k AS (SELECT 'orders' AS tab, CAST(o_orderkey AS VARCHAR) AS id, count(*) AS records, min(o_totalprice) AS a, max(o_totalprice) AS b FROM o GROUP BY 2
+ UNION ALL SELECT 'suppliers', CAST(s_suppkey AS VARCHAR), count(*), NULL, NULL FROM supplier WHERE s_suppkey % 7 <> 0 GROUP BY 2),
+r AS (SELECT 'orders' AS tab, CAST(l_orderkey AS VARCHAR) AS id, count(*) AS refs, min('lines:' || l_linenumber) AS referred_by FROM lineitem GROUP BY 2
+ UNION ALL SELECT 'suppliers', CAST(l_suppkey AS VARCHAR), count(*), min('lines:' || l_linenumber) FROM lineitem GROUP BY 2),
+n AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 79 = 0 THEN -1 ELSE o_totalprice END AS d FROM orders),
+j AS (SELECT coalesce(k.tab, r.tab) AS tab, coalesce(k.id, r.id) AS id, coalesce(records, 0) AS records, coalesce(refs, 0) AS refs, referred_by, a, b FROM k FULL JOIN r ON k.tab = r.tab AND k.id = r.id),
+f AS (SELECT coalesce(j.tab, 'orders') AS tab, coalesce(j.id, n.id) AS id, coalesce(records, 0) AS records, coalesce(refs, 0) AS refs, referred_by, a, b, n.d FROM j FULL JOIN n ON j.tab = 'orders' AND j.id = n.id)
+SELECT tab AS "table", id, 'dangling' AS violation, records, refs AS "references", referred_by FROM f WHERE records = 0 AND refs > 0
+UNION ALL SELECT tab, id, 'double', records, refs, referred_by FROM f WHERE records > 1
+UNION ALL SELECT tab, id, 'changed', records, refs, referred_by FROM f WHERE records > 0 AND (a <> b OR a <> d OR b <> d)
+UNION ALL SELECT tab, id, 'lost', records, refs, referred_by FROM f WHERE records = 0 AND d IS NOT NULL""",
+)
+def integrity(t):
+    """Orders of which some are missing, doubled or changed, and the lines that refer to them, in one grouping."""
+    orders, key, price = t("orders"), F.col("o_orderkey"), F.col("o_totalprice")
+    held = orders.where(key % 97 != 0).select("o_orderkey", "o_totalprice").unionByName(orders.where(key % 89 == 0).select("o_orderkey", "o_totalprice"))
+    held = held.unionByName(orders.where(key % 83 == 0).select("o_orderkey", (price + 1).alias("o_totalprice")))
+    text = lambda c: F.format_number(c.cast("double"), 2)
+    noted = F.when(key % 79 == 0, F.lit("-1")).otherwise(text(price))
+    lines, suppliers = t("lineitem"), t("supplier").where("s_suppkey % 7 <> 0")
+    return checks.integrity(
+        [checks.Keys("orders", held, "o_orderkey", text(price)), checks.Keys("suppliers", suppliers, "s_suppkey")],
+        [checks.References("lines", lines, "l_linenumber", "orders", "l_orderkey"), checks.References("lines", lines, "l_linenumber", "suppliers", "l_suppkey")],
+        [checks.Recorded("orders", orders, "o_orderkey", noted)],
+    )

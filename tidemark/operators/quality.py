@@ -219,30 +219,58 @@ def anonymized_issue(kind: Column, dimensions: Column, scoped: Column, by_query:
 # ---- tracking breaks -------------------------------------------------------
 
 
-def zero_runs(daily: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+#: Days of a series that one task handles at once.
+CHUNK_DAYS = 4096
+
+
+def zero_runs(daily: DataFrame, keys: Sequence[str], value: str = "value", chunk_days: int | None = None) -> DataFrame:
     """Runs of zero days per key: first day, length, and the mean of all days before the run.
 
-    Runs are judged over the days present, not over the calendar.
+    Runs are judged over the days present, not over the calendar. A series is cut
+    into chunks of ``chunk_days``; runs are found in each, and those that touch
+    the border of neighbouring chunks are joined. So a window holds a chunk, or a
+    few rows per chunk of a key, however long the series is.
     """
-    order = Window.partitionBy(*keys).orderBy("date")
-    zero = F.coalesce(F.col(value), F.lit(0)) == 0
-    numbered = daily.withColumns(
+    keys = list(keys)
+    chunk = F.floor(F.unix_date("date") / (chunk_days or CHUNK_DAYS))
+    amount = F.coalesce(F.col(value), F.lit(0)).cast("double")
+    rows = daily.select(*keys, "date", amount.alias("_v"), chunk.alias("_chunk"))
+    # level one: runs inside a chunk
+    order = Window.partitionBy(*keys, "_chunk").orderBy("date")
+    numbered = rows.withColumns(
         {
             "_i": F.row_number().over(order),
-            "_zero": zero,
-            "_before": F.avg(F.coalesce(F.col(value), F.lit(0)).cast("double")).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-            "_days": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
+            "_sum": F.coalesce(F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+            "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys, "_chunk")),
         }
-    ).where("_zero")
-    island = F.col("_i") - F.row_number().over(order)
-    runs = numbered.withColumn("_island", island).groupBy(*keys, "_island").agg(
-        F.min("date").alias("first_zero"),
-        F.count(F.lit(1)).alias("zero_days"),
-        F.min(F.struct("_i", "_before")).alias("_start"),
-        F.max("_days").alias("days"),
+    ).where("_v = 0")
+    runs = numbered.withColumn("_island", F.col("_i") - F.row_number().over(order)).groupBy(*keys, "_chunk", "_island").agg(
+        F.min("date").alias("first_zero"), F.count(F.lit(1)).alias("zero_days"), F.min("_i").alias("_i"), F.min("_sum").alias("_sum"), F.max("_i").alias("_last"), F.max("_n").alias("_n")
+    )
+    # level two: what comes before each chunk, and runs that go on in the next
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_v").alias("_total")).select(
+        *keys, "_chunk", F.row_number().over(along).alias("_c"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_sum_before"), F.sum("_rows").over(Window.partitionBy(*keys)).alias("days"),
+    )
+    same = F.col("r._chunk") == F.col("t._chunk")
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
+    before = F.col("_rows_before") + F.col("_i") - 1
+    placed = runs.alias("r").join(totals.alias("t"), same).select(
+        *[F.col(f"r.{k}").alias(k) for k in keys], "first_zero", "zero_days", "days", F.when(before > 0, (F.col("_sum_before") + F.col("_sum")) / before).otherwise(0.0).alias("prior_average"),
+        "_c", (F.col("_i") == 1).alias("_opens"), (F.col("_last") == F.col("_n")).alias("_closes"),
+    )
+    border = F.col("_opens") | F.col("_closes")
+    beside = Window.partitionBy(*keys).orderBy("first_zero")
+    goes_on = F.col("_opens") & F.coalesce(F.lag("_closes").over(beside) & (F.lag("_c").over(beside) == F.col("_c") - 1), F.lit(False))
+    linked = placed.where(border).withColumn("_new", (~goes_on).cast("int"))
+    joined = linked.withColumn("_run", F.sum("_new").over(beside.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_run").agg(
+        F.min("first_zero").alias("first_zero"), F.sum("zero_days").alias("zero_days"), F.max("days").alias("days"), F.min_by("prior_average", "first_zero").alias("prior_average")
     )
-    prior = F.coalesce("_start._before", F.lit(0.0))
-    return runs.select(*keys, "first_zero", "zero_days", "days", prior.alias("prior_average"))
+    columns = [*keys, "first_zero", "zero_days", "days", "prior_average"]
+    return joined.select(*columns).unionByName(placed.where(~border).select(*columns))
 
 
 def sudden_zero(daily: DataFrame, keys: Sequence[str], value: str = "value", min_average: float = 5) -> DataFrame:
