@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dates import trailing_windows
-from ..operators import compare, confidence, control, metrics, monitors, quality, selection
+from ..operators import compare, confidence, control, metrics, monitors, plans, quality, selection
 from .registry import also, query, rnd
 from .tables import AFTER, AFTER_DAYS, BEFORE, BEFORE_DAYS
 
@@ -340,6 +340,24 @@ also("control_pages_all_days", "control_pages")
 also("planned_controls_all_days", "planned_controls")
 
 
+@query(
+    "fixed_plans",
+    views=("detail_rows",),
+    sql=f"""WITH {_CHANGED}, w AS (SELECT page, substr(page, 2, 2) AS m, sum(impressions) AS b FROM detail_rows WHERE {_B} GROUP BY page),
+ch AS (SELECT DISTINCT page FROM changed WHERE {_B}),
+cp AS (SELECT m, page FROM w WHERE page NOT LIKE '%3' AND page NOT IN (SELECT page FROM ch)),
+s AS (SELECT m, count(DISTINCT cp.page) AS n_pages, CAST(sum(impressions) FILTER (WHERE {_B}) AS BIGINT) AS before_total, CAST(sum(impressions) FILTER (WHERE NOT {_B}) AS BIGINT) AS after_total FROM cp JOIN detail_rows USING (page) GROUP BY m)
+SELECT m AS experiment_id, CASE WHEN m = 'sm' THEN 'changed' ELSE 'fixed' END AS plan_status, n_pages, CASE WHEN m <> 'sm' THEN before_total END AS before_total, CASE WHEN m <> 'sm' THEN after_total END AS after_total FROM s""",
+)
+def fixed_plans(t):
+    """Plans fixed on the window before, judged on the one after; a set that was added to later is refused."""
+    asked = _control_requests(t).withColumnRenamed("request_id", "experiment_id")
+    chosen = control.control_pages(_page_days(t), _control_requests(t), _changed(t), planning=True).select(F.col("request_id").alias("experiment_id"), "page")
+    made, pages = plans.fix_plans(asked, chosen, None, F.lit("1998-06-04 00:00:00").cast("timestamp"))
+    added = pages.where("experiment_id = 'sm'").select("experiment_id", F.concat("page", F.lit("-new")).alias("page"))
+    return plans.evaluate_plans(made, pages.unionByName(added), t("detail_rows"))
+
+
 def _did_daily(t):
     rows = compare.label_windows(t("detail_rows"), BEFORE, AFTER)
     role = F.when(F.col("page").endswith("3"), "treated").otherwise("control")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import compaction, confidence, ledger, monitors, quality, selection
+from ..operators import as_of, change_windows, compaction, confidence, ledger, monitors, quality, selection
 from ..operators import integrity as checks
 from ..session import ensure_checkpoint_dir
 from ..sources import changelog
@@ -343,3 +343,50 @@ def integrity(t):
         [checks.References("lines", lines, "l_linenumber", "orders", "l_orderkey"), checks.References("lines", lines, "l_linenumber", "suppliers", "l_suppkey")],
         [checks.Recorded("orders", orders, "o_orderkey", noted)],
     )
+
+
+@query(
+    "tracking_changes",
+    views=("changes",),
+    sql="""WITH w AS (SELECT p_partkey AS request_id, DATE '1995-01-01' + CAST(p_partkey * 13 % 2400 AS INTEGER) AS start, DATE '1995-01-01' + CAST(p_partkey * 13 % 2400 AS INTEGER) + CAST(p_partkey % 60 AS INTEGER) AS "end" FROM part),
+k AS (SELECT * FROM changes WHERE type = 'tracking_change' AND deploy_status <> 'pending')
+SELECT request_id, start, "end", (SELECT count(*) FROM k WHERE live_date BETWEEN w.start AND w."end") AS n_changes FROM w""",
+)
+def tracking_changes(t):
+    """Tracking changes in the window of each request, by prefix counts."""
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") * 13 % 2400).cast("int"))
+    windows = t("part").select(F.col("p_partkey").alias("request_id"), start.alias("start"), F.date_add(start, (F.col("p_partkey") % 60).cast("int")).alias("end"))
+    live = quality.deployed_tracking(t("changes").withColumnRenamed("live_date", "live_at"))
+    return change_windows.count_in_windows(live, windows)
+
+
+@query(
+    "metric_as_of",
+    sql="""WITH v AS (SELECT s_suppkey % 50 AS metric_id, DATE '1995-01-01' + CAST(s_suppkey * 37 % 2400 AS INTEGER) AS valid_from, max(s_suppkey) AS version FROM supplier GROUP BY 1, 2),
+r AS (SELECT o_orderkey AS request_id, o_custkey % 50 AS metric_id, CAST(o_orderdate AS DATE) AS at FROM orders)
+SELECT r.request_id, r.metric_id, v.version, v.valid_from FROM r ASOF LEFT JOIN v ON r.metric_id = v.metric_id AND r.at >= v.valid_from""",
+)
+def metric_as_of(t):
+    """The definition that was valid when each order asked for its metric."""
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("s_suppkey") * 37 % 2400).cast("int"))
+    versions = t("supplier").select((F.col("s_suppkey") % 50).alias("metric_id"), day.alias("valid_from"), F.col("s_suppkey").alias("version"))
+    asked = t("orders").select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 50).alias("metric_id"), F.to_date("o_orderdate").alias("at"))
+    return as_of.as_of(asked, versions, "metric_id", "at", "valid_from", ["version"]).select("request_id", "metric_id", "version", "valid_from")
+
+
+@query(
+    "settings_as_of",
+    sql="""WITH c AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'min_clicks' WHEN 1 THEN 'fdr' ELSE 'unused' END AS name, DATE '1995-01-01' + CAST(c_custkey * 7 % 2400 AS INTEGER) AS since, c_custkey FROM customer WHERE c_custkey % 10 = 1),
+v AS (SELECT name, since, arg_max(CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE c_custkey END, (CASE WHEN c_custkey % 4 = 1 THEN -1 ELSE c_custkey END)) AS value, max(CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE c_custkey END) AS best FROM c GROUP BY 1, 2),
+r AS (SELECT o_orderkey AS request_id, CAST(o_orderdate AS DATE) AS at FROM orders)
+SELECT r.request_id, coalesce(CAST(a.best AS DOUBLE), 5.0) AS min_clicks, coalesce(CAST(b.best AS DOUBLE), 0.1) AS fdr FROM r
+ASOF LEFT JOIN (SELECT * FROM v WHERE name = 'min_clicks') a ON r.at >= a.since ASOF LEFT JOIN (SELECT * FROM v WHERE name = 'fdr') b ON r.at >= b.since""",
+)
+def settings_as_of(t):
+    """Stored thresholds as they were at each order's time."""
+    key = F.col("c_custkey")
+    name = F.when(key % 3 == 0, "min_clicks").when(key % 3 == 1, "fdr").otherwise("unused")
+    since = F.date_add(F.lit("1995-01-01").cast("date"), (key * 7 % 2400).cast("int"))
+    config = t("customer").where(key % 10 == 1).select(name.alias("name"), F.when(key % 4 != 1, key.cast("double")).alias("value"), since.alias("since"))
+    asked = t("orders").select(F.col("o_orderkey").alias("request_id"), F.to_date("o_orderdate").alias("at"))
+    return as_of.settings_as_of(asked, config, {"min_clicks": 5.0, "fdr": 0.1}).drop("at")

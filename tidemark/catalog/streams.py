@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import alerts
+from ..operators import alerts, change_windows
 from ..session import ensure_checkpoint_dir
 from ..streaming import pulls
 from ..streaming.alerts import episodes, run_alerts
@@ -133,3 +133,31 @@ SELECT CAST(batch AS INTEGER) AS batch, CAST(ts AS DATE) AS date, strftime(ts, '
 def stream_slice_index(t):
     """The slice index that ingest keeps in step with the facts."""
     return pulls.read_index(t.spark, _ingested(t)).select("batch", "date", "month", "series", F.col("rows").alias("n_rows"))
+
+
+def _event_changes(t):
+    """Every fifth sign-up counts as a change that went live then."""
+    return t("events").where("event_type = 'signup' AND event_id % 5 = 0").select(F.col("event_id").alias("change_id"), F.to_date("ts").alias("date"))
+
+
+@query(
+    "changes_near_alerts",
+    sql=f"""WITH p AS ({_EPISODES}),
+c AS (SELECT event_id AS change_id, CAST(ts AS DATE) AS date FROM events WHERE event_type = 'signup' AND event_id % 5 = 0)
+SELECT monitor_id, opened, opened - 5 AS start, opened AS "end", (SELECT count(*) FROM c WHERE c.date BETWEEN p.opened - 5 AND p.opened) AS n_changes FROM p""",
+)
+def changes_near_alerts(t):
+    """How many changes lie in the windows of each alert."""
+    found = alerts.alert_episodes(_history(t), F.lit(_through(t)))
+    return change_windows.changes_near_alerts(_event_changes(t), found, _rules(t))[0]
+
+
+@query(
+    "alert_span_changes",
+    sql=f"""WITH p AS ({_EPISODES}), s AS (SELECT DISTINCT opened - 5 AS start, opened AS "end" FROM p)
+SELECT start, "end", event_id AS change_id, CAST(ts AS DATE) AS date FROM s JOIN events ON event_type = 'signup' AND event_id % 5 = 0 AND CAST(ts AS DATE) BETWEEN start AND "end\"""",
+)
+def alert_span_changes(t):
+    """The changes themselves, once per distinct span."""
+    found = alerts.alert_episodes(_history(t), F.lit(_through(t)))
+    return change_windows.changes_near_alerts(_event_changes(t), found, _rules(t))[1]

@@ -109,12 +109,6 @@ def audit_requests(metrics: DataFrame, sources: DataFrame, scope: str = "growth"
     return monitor_requests(rules, metrics, sources)
 
 
-def changes_near(changes: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Changes registered between a window's start and end (equi-join on the day)."""
-    days = windows.select(*keys, F.explode(F.sequence("start", "end")).alias("date"))
-    return days.join(changes.select("change_id", F.to_date("live_at").alias("date")), "date").select(*keys, "change_id", "date")
-
-
 # ---- experiments -----------------------------------------------------------
 
 

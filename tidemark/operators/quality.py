@@ -11,6 +11,7 @@ from ..functions.classify import quality_level, severity_rank
 from ..functions.dates import days_inclusive
 from ..functions.numbers import round_half_up
 from ..settings import METRIC_KINDS
+from .change_windows import span_changes
 
 ISSUE = ("code", "severity", "detail")
 
@@ -328,13 +329,15 @@ def comparability(selected: DataFrame, snapshots: DataFrame, keys: Sequence[str]
     return differs.unionByName(notes)
 
 
+def deployed_tracking(changes: DataFrame) -> DataFrame:
+    """Tracking changes that went live, with their day."""
+    return changes.where((F.col("type") == "tracking_change") & (F.col("deploy_status") != "pending")).select("change_id", F.to_date("live_at").alias("date"))
+
+
 def tracking_changes(changes: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Deployed tracking changes inside each window (equi-join on the day)."""
-    live = changes.where((F.col("type") == "tracking_change") & (F.col("deploy_status") != "pending")).select(
-        "change_id", F.to_date("live_at").alias("date")
-    )
-    days = windows.select(*keys, F.explode(F.sequence("start", "end")).alias("date"))
-    return days.join(live, "date").select(
+    """Deployed tracking changes inside each window; they are looked up once per distinct span."""
+    found = span_changes(deployed_tracking(changes), windows)
+    return windows.select(*keys, "start", "end").join(found, ["start", "end"]).select(
         *keys, F.lit("tracking_change_in_window").alias("code"), F.lit("major").alias("severity"), F.col("change_id").cast("string").alias("detail")
     )
 
