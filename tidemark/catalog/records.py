@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import as_of, change_windows, compaction, confidence, ledger, monitors, quality, selection
+from ..operators import as_of, change_windows, compaction, confidence, ledger, monitors, provenance, quality, selection
 from ..operators import integrity as checks
 from ..session import ensure_checkpoint_dir
 from ..sources import changelog
@@ -390,3 +390,31 @@ def settings_as_of(t):
     config = t("customer").where(key % 10 == 1).select(name.alias("name"), F.when(key % 4 != 1, key.cast("double")).alias("value"), since.alias("since"))
     asked = t("orders").select(F.col("o_orderkey").alias("request_id"), F.to_date("o_orderdate").alias("at"))
     return as_of.settings_as_of(asked, config, {"min_clicks": 5.0, "fdr": 0.1}).drop("at")
+
+
+@query(
+    "evidence_lineage",
+    sql="""WITH l AS (SELECT l_partkey AS request_id, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_artifacts, CAST(sum(DISTINCT l_suppkey) AS BIGINT) AS members FROM lineitem GROUP BY 1)
+SELECT p_partkey AS request_id, coalesce(n_artifacts, 0) AS n_artifacts, members FROM part LEFT JOIN l ON p_partkey = request_id""",
+)
+def evidence_lineage(t):
+    """Evidence of each part with the sum of the pulls that its lineage lists."""
+    evidence = t("part").select(F.col("p_partkey").alias("request_id"), F.lit("m").alias("metric_id"), F.lit("s").alias("source_id"), F.lit("2001-11-04").cast("date").alias("after_end"))
+    linked = t("orders").select(F.col("o_orderkey").alias("change_id"), (F.col("o_custkey") % 100).alias("request_id"), F.lit("linked").alias("relation")).where("change_id % 50 = 0")
+    selected = t("lineitem").select(F.col("l_partkey").alias("request_id"), F.col("l_suppkey").alias("snapshot_id"))
+    rows, lineage = ledger.evidence_rows(evidence, linked, selected, _now())
+    members = lineage.groupBy("set_id").agg(F.sum("snapshot_id").alias("members"))
+    return rows.join(members, F.col("artifact_set") == F.col("set_id"), "left").select("request_id", "n_artifacts", "members")
+
+
+@query(
+    "distinct_pages",
+    views=("search_rows",),
+    sql="SELECT country, count(DISTINCT page) AS n_distinct, true AS sketch_near FROM search_rows GROUP BY country",
+)
+def distinct_pages(t):
+    """Distinct pages per country, exactly, and whether the sketches of all days come within their stated error."""
+    rows = t("search_rows")
+    near = provenance.sketched_distinct(provenance.day_sketches(rows, ["country"], "page"), ["country"])
+    met = provenance.exact_distinct(rows, ["country"], "page").join(near, "country")
+    return met.select("country", "n_distinct", (F.abs(F.col("estimate") - F.col("n_distinct")) <= F.col("n_distinct") * 2 * provenance.SKETCH_ERROR + 1).alias("sketch_near"))

@@ -217,18 +217,23 @@ def baseline_rows(measured: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def evidence_rows(evidence: DataFrame, changes: DataFrame, selected: DataFrame, now: Column) -> DataFrame:
-    """Evidence to append: one row per comparison with its linked changes and contributing pulls."""
+def evidence_rows(evidence: DataFrame, changes: DataFrame, selected: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Evidence to append, one row per comparison, and the lineage it names: set_id and snapshot_id.
+
+    A row has the changes that its request links, which requests list themselves,
+    and the id and number of its contributing pulls; equal sets of pulls are listed once.
+    """
+    from .provenance import member_sets
+
     linked = changes.where("relation = 'linked'").groupBy("request_id").agg(F.array_sort(F.collect_set("change_id")).alias("change_ids"))
-    pulls = selected.select("request_id", "snapshot_id").distinct().groupBy("request_id").agg(
-        F.array_sort(F.collect_set("snapshot_id")).alias("artifacts")
-    )
-    none = F.array().cast("array<string>")
+    sets, lineage = member_sets(selected, ["request_id"], "snapshot_id")
+    pulls = sets.select("request_id", F.col("set_id").alias("artifact_set"), F.col("n_members").alias("n_artifacts"))
     joined = evidence.join(linked, "request_id", "left").join(pulls, "request_id", "left")
     key = record_key(F.col("request_id"), F.col("metric_id"), F.col("source_id"), F.col("after_end"), now)
-    return joined.withColumns(
-        {"evidence_id": key, "change_ids": F.coalesce("change_ids", none), "artifacts": F.coalesce("artifacts", none), "recorded_at": now}
+    rows = joined.withColumns(
+        {"evidence_id": key, "change_ids": F.coalesce("change_ids", F.array().cast("array<string>")), "n_artifacts": F.coalesce("n_artifacts", F.lit(0)), "recorded_at": now}
     )
+    return rows, lineage
 
 
 def next_action(checks: DataFrame) -> DataFrame:
