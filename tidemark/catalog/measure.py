@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import trailing_windows
 from ..operators import compare, confidence, control, metrics, monitors, plans, quality, selection
+from ..session import cut_lineage
 from .registry import also, query, rnd
 from .tables import AFTER, AFTER_DAYS, BEFORE, BEFORE_DAYS
 
@@ -351,8 +352,9 @@ SELECT m AS experiment_id, CASE WHEN m = 'sm' THEN 'changed' ELSE 'fixed' END AS
 )
 def fixed_plans(t):
     """Plans fixed on the window before, judged on the one after; a set that was added to later is refused."""
-    asked = _control_requests(t).withColumnRenamed("request_id", "experiment_id")
-    chosen = control.control_pages(_page_days(t), _control_requests(t), _changed(t), planning=True).select(F.col("request_id").alias("experiment_id"), "page")
+    requests = cut_lineage(_control_requests(t))
+    asked = requests.withColumnRenamed("request_id", "experiment_id")
+    chosen = control.control_pages(_page_days(t), requests, _changed(t), planning=True).select(F.col("request_id").alias("experiment_id"), "page")
     made, pages = plans.fix_plans(asked, chosen, None, F.lit("1998-06-04 00:00:00").cast("timestamp"))
     added = pages.where("experiment_id = 'sm'").select("experiment_id", F.concat("page", F.lit("-new")).alias("page"))
     return plans.evaluate_plans(made, pages.unionByName(added), t("detail_rows"))
@@ -606,7 +608,7 @@ def measured_evidence(t):
             "headline_safe": F.lit(False), "warnings": F.array().cast("array<string>"),
         }
     )
-    requests = t("search_rows").select("country").distinct().select(
+    requests = cut_lineage(t("search_rows").select("country").distinct()).select(
         F.col("country").alias("request_id"), F.lit("organic_ctr").alias("metric_id"), F.lit("gsc").alias("source_id"),
         *[F.lit(d).cast("date").alias(n) for n, d in zip(("before_start", "before_end", "after_start", "after_end"), (*BEFORE, *AFTER))],
         F.create_map(F.lit("country"), F.array("country")).alias("scope"), none("array<string>").alias("change_ids"), none("string").alias("experiment_id"),

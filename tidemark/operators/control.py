@@ -11,6 +11,7 @@ from ..functions.dates import days_inclusive, year_earlier
 from ..functions.numbers import round_half_up
 from ..functions.stats import welch
 from ..functions.urls import market
+from ..session import cut_lineage
 
 
 def control_pages(
@@ -49,6 +50,8 @@ def control_pages(
     in_market = markets.join(present.withColumn("market", market(F.col("page"), prefixes)), [*window, "market"])
     free = in_market.join(treated, ["request_id", "page"], "left_anti")
     if changed is not None:
+        # read twice below; the facts behind it are not
+        free = cut_lineage(free)
         touched = changed.select("date", F.explode("pages").alias("page")).where(F.col("date").isNotNull()).distinct()
         end = F.col("before_end") if planning else F.col("after_end")
         hit = free.join(touched, "page").where(F.col("date").between(F.col("before_start"), end))

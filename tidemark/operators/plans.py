@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import row_hash
+from ..session import cut_lineage
 from .ledger import rows_digest
 
 WINDOWS = ("before_start", "before_end", "after_start", "after_end")
@@ -31,7 +32,8 @@ def fix_plans(experiments: DataFrame, controls: DataFrame, plans: DataFrame | No
     gets a plan of none.
     """
     fresh = experiments if plans is None else experiments.join(plans.select("experiment_id").distinct(), "experiment_id", "left_anti")
-    pages = controls.join(fresh.select("experiment_id"), "experiment_id", "left_semi").select("experiment_id", "page").distinct()
+    # the choice of pages reads all facts, and plans, their digests and every evaluation read the pages
+    pages = cut_lineage(controls.join(fresh.select("experiment_id"), "experiment_id", "left_semi").select("experiment_id", "page").distinct())
     digests = page_digests(pages)
     rows = fresh.join(digests, "experiment_id", "left").select("experiment_id", *WINDOWS, F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("digest", F.lit("none")).alias("digest"), now.alias("fixed_at"))
     return rows, pages
@@ -41,7 +43,7 @@ def checked_pages(plans: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFr
     """Pages of sound plans with the plans' windows, and the plans with their status: fixed or changed."""
     actual = page_digests(pages).select("experiment_id", F.col("n_pages").alias("_n"), F.col("digest").alias("_digest"))
     same = (F.col("n_pages") == F.coalesce("_n", F.lit(0))) & (F.col("digest") == F.coalesce("_digest", F.lit("none")))
-    judged = plans.join(actual, "experiment_id", "left").withColumn("plan_status", F.when(same, "fixed").otherwise("changed")).drop("_n", "_digest")
+    judged = cut_lineage(plans.join(actual, "experiment_id", "left").withColumn("plan_status", F.when(same, "fixed").otherwise("changed")).drop("_n", "_digest"))
     sound = judged.where("plan_status = 'fixed'").select("experiment_id", *WINDOWS)
     return pages.select("experiment_id", "page").distinct().join(sound, "experiment_id"), judged
 
