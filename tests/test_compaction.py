@@ -69,3 +69,38 @@ def test_bins_stay_near_the_target(spark, tmp_path):
     sizes = C.file_bins(spark, root, ["source_id", "month"], 3000)
     largest = sizes.agg(F.max("length")).first()[0]
     assert sizes.groupBy("source_id", "month", "bin").agg(F.sum("length").alias("n")).where(F.col("n") > 3000 + largest).isEmpty()
+
+
+def test_bins_are_bounded_in_rows_and_written_by_a_task_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "TARGET_ROWS", 100)
+    root = str(tmp_path)
+    rows = pulls(spark, ["a", "b"], 200)
+    C.create(rows.repartition(40), root)
+    report = C.compact(spark, root).collect()
+    assert report and all(r.files > r.bins for r in report)
+    # a year in one part: about as many files as it has hundreds of rows, none much larger
+    other = str(tmp_path / "other")
+    C.create(rows.withColumn("month", F.lit("all")).repartition(40), other)
+    report = C.compact(spark, other).collect()
+    assert {(r.source_id, r.bins, r.n_rows) for r in report} == {("s0", 2, 200), ("s1", 2, 200)}
+    assert files(tmp_path / "other")["generation=1"] == 4
+    sizes = spark.read.parquet(f"{other}/data/generation=1").groupBy(F.input_file_name()).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 120
+    assert contents(C.read(spark, other)) == contents(rows.withColumn("month", F.lit("all")))
+
+
+def test_writers_of_the_store_follow_its_rows(spark, tmp_path, monkeypatch):
+    from tidemark.catalog import records
+
+    lines = spark.range(1000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id % 20 AS l_suppkey", "'R' AS l_returnflag", "TIMESTAMP_NTZ '1998-03-04 00:00:00' AS l_shipdate", "2.0D AS l_quantity")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(records, "_WRITER_ROWS", 100, raising=False)
+    seen = []
+    create = C.create
+    monkeypatch.setattr(C, "create", lambda rows, root, *rest: (seen.append(root), create(rows, root, *rest))[1])
+    from tidemark.catalog import load
+
+    row = load().QUERIES["compacted_parts"](spark, str(tmp_path)).first()
+    assert (row.source_id, row.month, row.n_rows, row.quantity, row.pulls) == ("R", "1998", 900, 1800.0, 18)
+    written = spark.read.parquet(f"{seen[0]}/data/generation=0").groupBy(F.input_file_name()).count()
+    assert written.count() == 10 and written.agg(F.max("count")).first()[0] <= 110

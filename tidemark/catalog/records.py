@@ -14,6 +14,8 @@ from .registry import query, rnd
 from .tables import VIEWS
 
 _NOW = "2024-02-01 08:00:00"
+#: Rows of one writer of the store that is compacted.
+_WRITER_ROWS = 2_000_000
 
 
 def _now():
@@ -305,7 +307,7 @@ def compacted_parts(t):
     )
     ensure_checkpoint_dir(t.spark)
     root = f"{t.spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4()}"
-    compaction.create(rows.repartition(3), root)
+    compaction.create(rows.repartition(max(3, -(-rows.count() // _WRITER_ROWS))), root)
     parts = ["source_id", "month"]
     headers = compaction.pull_digests(rows, parts).select("snapshot_id", F.col("rows").alias("row_count"), F.col("digest").alias("rows_hash"))
     pruned = rows.where(F.col("snapshot_id").cast("bigint") % 10 == 3).select("snapshot_id").distinct()

@@ -3,7 +3,7 @@
 A store is a folder with ``data``, partitioned by generation and by the store's
 own columns, and ``manifest``, whose newest complete version says which
 generation of each part is in force. Compaction packs the files of a part into
-as few of the target size as it can, writes them as a new generation, and
+as few of the target size and number of rows as it can, writes them as a new generation, and
 publishes a version of the manifest only if every pull has the same rows before
 and after, by an order-free digest. Readers that began earlier go on with the
 files of their version; those that begin later get the new ones, all at once.
@@ -21,6 +21,8 @@ from ..session import cut_lineage
 from .ledger import rows_digest
 
 TARGET_BYTES = 256 << 20
+#: Rows of a file; a task sorts the rows of one file, so this bounds its memory however well the rows compress.
+TARGET_ROWS = 4_000_000
 #: Parts or files up to which their list is broadcast, so that scans are pruned while they run; longer lists are joined by a shuffle.
 SMALL_LIST = 200_000
 
@@ -97,17 +99,31 @@ def file_bins(spark: SparkSession, root: str, parts: Sequence[str], target: int)
     """The files in force with their part and the bin that each goes to: file, parts, bytes, files, bins and bin.
 
     Within a part, files are laid end to end, the largest first, and cut at the
-    target size, so a bin exceeds it by one small file at most.
+    target size, so a bin exceeds it by one small file at most. A file whose rows
+    are a greater share of ``TARGET_ROWS`` counts by them.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/data").select("path", "length")
     decoded = [F.url_decode(F.regexp_extract("path", rf"/{c}=([^/]+)/", 1)).alias(c) for c in parts]
     generation = F.regexp_extract("path", r"/generation=(\d+)/", 1).cast("int").alias("generation")
-    held = listed.select("path", "length", generation, *decoded).join(_small(_manifest(spark, root)), ["generation", *parts], "left_semi")
-    order = Window.partitionBy(*parts).orderBy(F.desc("length"), "path")
-    until = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    current = _small(_manifest(spark, root))
+    counted = _data(spark, root, parts).withColumn("path", F.col("_metadata.file_path")).join(current, ["generation", *parts], "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("_rows"))
+    held = listed.select("path", "length", generation, *decoded).join(current, ["generation", *parts], "left_semi").join(counted, "path", "left")
+    held = held.withColumn("_size", F.greatest("length", F.floor(F.coalesce("_rows", F.lit(0)) * F.lit(target / TARGET_ROWS)))).drop("_rows")
+    order = Window.partitionBy(*parts).orderBy(F.desc("_size"), "path")
+    until = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     whole = Window.partitionBy(*parts)
-    binned = held.withColumns({"bin": F.floor((until - F.col("length") / 2) / target).cast("int"), "files": F.count(F.lit(1)).over(whole)})
-    return binned.withColumn("bins", F.size(F.collect_set("bin").over(whole)))
+    binned = held.withColumns({"bin": F.floor((until - F.col("_size") / 2) / target).cast("int"), "files": F.count(F.lit(1)).over(whole)})
+    return binned.drop("_size").withColumn("bins", F.size(F.collect_set("bin").over(whole)))
+
+
+def _numbered(chosen: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Files with ``_slot``, the number of their bin among the bins of all parts, from 0."""
+    of_part = chosen.select(*parts, "bin").distinct().withColumn("_n", F.dense_rank().over(Window.partitionBy(*parts).orderBy("bin")))
+    # the only step over all parts has one row per part
+    sizes = of_part.groupBy(*parts).agg(F.max("_n").alias("_k"))
+    starts = sizes.withColumn("_start", F.sum("_k").over(Window.orderBy(*parts)) - F.col("_k")).drop("_k")
+    slots = of_part.join(starts, list(parts)).select(*parts, "bin", (F.col("_start") + F.col("_n") - 1).cast("int").alias("_slot"))
+    return chosen.join(slots, [*parts, "bin"])
 
 
 def digests(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
@@ -149,13 +165,15 @@ def compact(
         touched = held.join(gone, "snapshot_id", "left_semi").select(*parts).distinct()
         chosen = chosen.unionByName(bins.where(F.col("files") <= F.col("bins")).join(touched, list(parts), "left_semi"))
         kept = held.join(gone, "snapshot_id", "left_anti")
-    chosen = cut_lineage(chosen.select("generation", *parts, F.col("path").alias("_file"), "bin", "files", "bins"))
+    chosen = cut_lineage(_numbered(chosen.select("generation", *parts, F.col("path").alias("_file"), "bin", "files", "bins"), parts))
     if chosen.isEmpty():
         return spark.createDataFrame([], ", ".join([*[f"{c} string" for c in parts], "files long, bins int, n_rows long, digest string"]))
-    moved = kept.join(_small(chosen.select("_file", "bin")), "_file").drop("_file", "generation")
+    moved = kept.join(_small(chosen.select("_file", "_slot")), "_file").drop("_file", "generation")
     version = versions(spark, root)[-1] + 1
-    expected = cut_lineage(digests(moved.drop("bin"), parts))
-    laid = moved.repartition(*parts, "bin").sortWithinPartitions(*parts, "bin", "snapshot_id", "date").drop("bin")
+    expected = cut_lineage(digests(moved.drop("_slot"), parts))
+    # a task writes one bin
+    slots = chosen.agg(F.max("_slot")).first()[0] + 1
+    laid = moved.repartitionById(slots, F.col("_slot")).sortWithinPartitions(*parts, "snapshot_id", "date").drop("_slot")
     laid.withColumn("generation", F.lit(version)).write.mode("append").partitionBy("generation", *parts).parquet(f"{root}/data")
     written = _data(spark, root, parts).where(F.col("generation") == version)
     _refuse_unless_same(expected, digests(written, parts), [*parts, "snapshot_id"], "compacted rows differ from those read")
