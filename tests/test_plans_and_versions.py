@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import plans
+from tidemark.operators import metrics, plans
 from tidemark.operators.as_of import as_of, settings_as_of
 from tidemark.operators.change_windows import count_in_windows, span_changes
 
@@ -72,3 +72,41 @@ def test_plans_are_fixed(spark):
     assert got == {"e1": ("fixed", 20, 20), "e2": ("changed", None, None), "e3": ("fixed", None, None)}
     lost = pages.where("page <> '/b'")
     assert {r.experiment_id for r in plans.checked_pages(made, lost)[1].where("plan_status = 'changed'").collect()} == {"e1"}
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_a_plan_are_chosen_once(spark):
+    asked = spark.createDataFrame([("e", "x")], "experiment_id STRING, z STRING").select("experiment_id", *[F.lit(d).cast("date").alias(n) for n, d in zip(plans.WINDOWS, ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"))])
+    chosen = spark.range(3).selectExpr("'e' AS experiment_id", "concat('/p', id) AS page")
+    made, pages = plans.fix_plans(asked, chosen, None, F.lit("2024-01-05").cast("timestamp"))
+    held, judged = plans.checked_pages(made, pages)
+    assert "Join" not in _plan(pages) and "Join" not in _plan(judged)  # stored, not derived again by each reader
+    assert judged.first().plan_status == "fixed" and held.count() == 3
+
+
+def test_few_spans_are_broadcast(spark):
+    changes = spark.range(10).selectExpr("id AS change_id", "date_add(DATE '2024-01-01', CAST(id AS INT)) AS date")
+    spans = spark.createDataFrame([("2024-01-02", "2024-01-04")], "a STRING, b STRING").selectExpr("CAST(a AS DATE) AS start", "CAST(b AS DATE) AS `end`")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = span_changes(changes, spans)
+        assert "BroadcastHashJoin" in _plan(found) and "SortMergeJoin" not in _plan(found)
+        assert sorted(r.change_id for r in found.collect()) == [1, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_of_one_source_meet_the_dictionary_without_a_product(spark):
+    facts = spark.range(4).select(F.lit("gsc").alias("source_id"), F.lit("gsc_rows").alias("kind"), F.col("id").alias("clicks"))
+    names = ("source_id", "metric_id", "aggregation", "field", "series_field", "numerator", "denominator", "weight", "scale")
+    one = spark.createDataFrame([("gsc", "m", "sum", "clicks", None, None, None, None, 1.0), ("db", "n", "sum", "value", None, None, None, None, 1.0)], ", ".join(f"{n} {'DOUBLE' if n == 'scale' else 'STRING'}" for n in names))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = metrics.join_mappings(facts, one)
+        assert "CartesianProduct" not in _plan(met)
+        assert sorted((r.clicks, r.metric_id) for r in met.collect()) == [(i, "m") for i in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .intervals import overlap_join
 
 
@@ -48,7 +49,8 @@ def count_in_windows(changes: DataFrame, windows: DataFrame, by: Sequence[str] =
 
 def span_changes(changes: DataFrame, windows: DataFrame) -> DataFrame:
     """The changes of each distinct (start, end) among the windows: start, end and the columns of ``changes``."""
-    spans = windows.select("start", "end").distinct()
+    # long spans lie in one bucket each; as a broadcast they leave the changes spread as they are
+    spans = broadcast_if_small(windows.select("start", "end").distinct())
     dated = changes.withColumns({"_first": F.col("date"), "_last": F.col("date"), "_any": F.lit(0)})
     return overlap_join(spans.withColumn("_any", F.lit(0)), dated, ["_any"], ("start", "end"), ("_first", "_last")).drop("_any", "_first", "_last")
 

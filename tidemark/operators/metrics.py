@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 WIDE_FIELDS = ("clicks", "impressions", "ctr", "position", "value")
 _MAPPING = ("aggregation", "field", "series", "numerator", "denominator", "weight", "scale")
 
@@ -77,8 +79,11 @@ def join_mappings(facts: DataFrame, mappings: DataFrame) -> DataFrame:
     """Facts with the mapping of every metric that reads them.
 
     Time-series rows meet a metric through the series it names; search rows
-    through their source. Both are equi-joins.
+    through their source. Both are equi-joins. A dictionary of usual size is
+    broadcast, so that the facts are read once even where all have one source:
+    Spark then sees no join key.
     """
+    mappings = broadcast_if_small(mappings)
     columns = ["metric_id", "aggregation", "field", "series_field", "numerator", "denominator", "weight", "scale"]
     wide = facts.where(F.col("kind") == "gsc_rows").join(mappings.select("source_id", *columns), "source_id")
     if "series" not in facts.columns:

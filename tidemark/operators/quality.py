@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import quality_level, severity_rank
 from ..functions.dates import days_inclusive
 from ..functions.numbers import round_half_up
+from ..session import broadcast_if_small
 from ..settings import METRIC_KINDS
 from .change_windows import span_changes
 
@@ -337,7 +338,7 @@ def deployed_tracking(changes: DataFrame) -> DataFrame:
 def tracking_changes(changes: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Deployed tracking changes inside each window; they are looked up once per distinct span."""
     found = span_changes(deployed_tracking(changes), windows)
-    return windows.select(*keys, "start", "end").join(found, ["start", "end"]).select(
+    return broadcast_if_small(windows.select(*keys, "start", "end")).join(found, ["start", "end"]).select(
         *keys, F.lit("tracking_change_in_window").alias("code"), F.lit("major").alias("severity"), F.col("change_id").cast("string").alias("detail")
     )
 

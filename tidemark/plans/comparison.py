@@ -332,8 +332,10 @@ def analyze(
     windows = _labelled(resolved, own_windows())
     # pages as keys, once
     keyed = evidence.facts.withColumn("page", page_key(F.col("page")))
-    touched = evidence.changes.withColumn("pages", F.transform("pages", page_key))
-    evidence = replace(evidence, facts=keyed, changes=touched, slices=cut_lineage(evidence.slice_table()))
+    # the registry and the headers are read by many steps, and may be derived from much more than they hold
+    touched = cut_lineage(evidence.changes.withColumn("pages", F.transform("pages", page_key)))
+    headers = cut_lineage(evidence.snapshots)
+    evidence = replace(evidence, snapshots=headers, facts=keyed, changes=touched, slices=cut_lineage(evidence.slice_table()))
     slices = evidence.slices
     # the slice index, the selection and the daily parts are small and read by every later step,
     # so they are written once and the plans behind them end there

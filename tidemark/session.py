@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that suit both a laptop and a large cluster. Partition counts are
 #: left to adaptive execution: it coalesces from a generous initial number.
@@ -44,6 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows; counting them runs its plan."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder and read them from there."""
     ensure_checkpoint_dir(df.sparkSession)
