@@ -238,3 +238,15 @@ def test_digest_ignores_order_and_sees_changes(spark):
     frame = spark.createDataFrame(rows, "snapshot_id STRING, i INT, v DOUBLE")
     digest = lambda f: ledger.rows_digest(f, ["snapshot_id"], F.sha2(F.concat_ws("|", "i", "v"), 256)).first()["digest"]
     assert digest(frame) == digest(frame.repartition(7)) != digest(frame.where("i <> 3"))
+
+
+def test_digest_sums_equal_those_of_whole_quarters(spark):
+    rows = spark.range(500).select((F.col("id") % 7).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    rows = rows.withColumn("h", F.when(F.col("k") == 3, F.lit("f" * 64)).when(F.col("k") == 4, F.lit("0" * 64)).when((F.col("k") == 5), F.lit(None)).otherwise(F.col("h")))
+    quarter = lambda i: F.sum(F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")).cast("string")
+    want = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), *[quarter(i).alias(f"q{i}") for i in range(4)])
+    want = want.select("k", "rows", F.sha2(F.concat_ws(":", "rows", "q0", "q1", "q2", "q3"), 256).alias("digest"))
+    found = ledger.rows_digest(rows, ["k"], F.col("h"))
+    assert sorted(found.collect()) == sorted(want.collect())
+    # no decimal is added up row by row
+    assert "decimal(20,0)" not in found._jdf.queryExecution().optimizedPlan().toString()

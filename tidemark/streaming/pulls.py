@@ -111,7 +111,7 @@ def ingest_days(
         snapshot_headers(own, now()).write.mode("overwrite").parquet(f"{root}/headers/batch={batch_id}")
 
         newest = own.groupBy("source_id").agg(F.max("ts").alias("newest"))
-        before = spark.createDataFrame([], "source_id string, newest timestamp")
+        before = newest.where(F.lit(False))
         if batch_id > 0:
             before = spark.read.parquet(f"{root}/progress/batch={batch_id - 1}").select("source_id", "newest")
         both = newest.unionByName(before).groupBy("source_id").agg(F.max("newest").alias("newest"))
