@@ -2,7 +2,9 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 from brute import words
 
@@ -104,3 +106,41 @@ def test_empty_and_untrained(spark):
     alone = next(i for i in range(99) if held(i))
     row = C.context_tree_scores(spark.createDataFrame([(alone, "ab", 1)], SCHEMA)).first()
     assert row["score"] == pytest.approx(-3 * math.log10(256)) and row["train_tokens"] == 0 and row["n_known"] == 0
+
+
+def test_blocks_give_the_rows_of_a_broadcast(spark, monkeypatch):
+    frame = spark.createDataFrame([(d, t, 1) for d, t in rows_of(120)], SCHEMA).repartition(3)
+    want = C.context_tree_scores(frame).collect()
+    monkeypatch.setattr(C, "BLOCK_BYTES", 300)  # some 40 blocks
+    got = C.context_tree_scores(frame, broadcast_rows=0).collect()
+    key = lambda r: str(tuple(r))
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_packed_numbers_come_back():
+    for keys in ([], [0], [5, 5, 6], [0, 1 << 47, (1 << 64) - 1]):
+        assert C._grown_keys(C._shrunk_keys(np.array(keys, np.uint64))).tolist() == keys
+    values = np.array([-1.5, 0.0, 1e-300, 7])
+    assert C._grown(C._shrunk(values), np.float64).tolist() == values.tolist()
+
+
+def disk(spark):
+    """Bytes of each file that Spark holds: shuffles, and rows in the checkpoint folder."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    held = {(f := files.apply(i)).getPath(): f.length() for i in range(files.size())}
+    folder = spark.sparkContext.getCheckpointDir()
+    return held | {str(f): f.stat().st_size for f in (Path(folder.removeprefix("file:")).rglob("*.parquet") if folder else ())}
+
+
+def test_tables_beyond_the_broadcast_fit_three_times_the_input(spark, tmp_path):
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choices("etaoinshrdlu", k=draw.randrange(2, 9))) for _ in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = [(i, " ".join(draw.choices(vocabulary, weights, k=300)), 1) for i in range(5000)]
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/in")
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    before = disk(spark)
+    out = C.context_tree_scores(spark.read.parquet(f"{tmp_path}/in"), broadcast_rows=0)
+    out.write.format("noop").mode("overwrite").save()
+    used = sum(n for name, n in disk(spark).items() if name not in before)
+    assert used < 3 * size, (used, size)

@@ -16,15 +16,21 @@ Counts, trees and scores run as Spark jobs over whole texts:
    over all buckets and weighed on the driver.
 3. buckets turn each run of bytes that occurs anywhere into a log probability.
 4. documents look up their runs. The table is broadcast if it has at most
-   ``BROADCAST_ROWS`` rows, else documents and table meet by a shuffled join.
+   ``BROADCAST_ROWS`` rows. Beyond that documents are dealt, compressed, into
+   blocks of about ``BLOCK_BYTES``; a block asks once for each run and word in
+   it, cells of the table answer, and blocks score with the answers. So the
+   disk holds a compressed copy of the texts and each block's distinct runs,
+   not a row per document and run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +40,11 @@ DEPTH = 5
 HELD_OUT = (7, 2)
 #: Rows of a lookup table that are broadcast at most: 16 bytes each.
 BROADCAST_ROWS = 8_000_000
-#: Entries that a task holds before it merges them.
+#: Entries that a task holds before it merges them, or twice what the last merge left.
 HELD_ENTRIES = 1_500_000
+#: Bytes of text, with ``ROW_BYTES`` for each row, that share one look-up where the table is not broadcast.
+BLOCK_BYTES = 64 << 20
+ROW_BYTES = 64
 _END = 0xFF  # never a byte of UTF-8: ends a text and fills the context before it
 
 
@@ -68,20 +77,20 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 class _Counter:
     def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
+        self.keys, self.counts, self.held, self.most = [], [], 0, HELD_ENTRIES
 
     def add(self, keys: np.ndarray, counted: bool) -> None:
         key, count = np.unique(keys, return_counts=True)
         self.keys.append(key)
         self.counts.append(count if counted else np.zeros(len(key), np.int64))
         self.held += len(key)
-        if self.held > HELD_ENTRIES:
+        if self.held > self.most:
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if self.keys:
             key, count = _merge(self.keys, self.counts)
-            self.keys, self.counts, self.held = [key], [count], 0
+            self.keys, self.counts, self.held, self.most = [key], [count], 0, max(HELD_ENTRIES, 2 * len(key))
             return key, count
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -267,12 +276,6 @@ class Model:
         self.train_texts, self.train_tokens, self.vocabulary = train_texts, train_tokens, vocabulary
 
 
-def _lookup_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        for keys, values in zip(rows.column(0), rows.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(values.as_py(), np.float64))], names=["key", "value"])
-
-
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         size = [(len(k.as_py()) // 8, int(np.frombuffer(c.as_py(), np.int64).sum())) for k, c in zip(rows.column("keys"), rows.column("counts"))]
@@ -357,7 +360,27 @@ def _small_chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             yield first, min(first + 0xFFFF, b)
 
 
-_SCORED = "n_tokens long, n_known long, base_score double, score double"
+_SCORED = "doc_id long, held_out boolean, bytes long, n_tokens long, n_known long, base_score double, score double"
+_SCORED_NAMES = ["doc_id", "held_out", "bytes", "n_tokens", "n_known", "base_score", "score"]
+
+
+def _scores(rows: pa.RecordBatch, words: tuple[np.ndarray, np.ndarray], runs: tuple[np.ndarray, np.ndarray], scale: float, end: tuple[float, int]) -> Iterator[pa.RecordBatch]:
+    """``_SCORED`` of some rows; the tables hold at least the rows' words and byte runs that the model has."""
+    data, offsets = text_bytes(rows.column("text"))
+    for a, b in _small_chunks(offsets):
+        bounds = offsets[a : b + 1] - offsets[a]
+        out = {}
+        for kind, keys, row, count in _features(data[offsets[a] : offsets[b]], bounds):
+            distinct, place = _fresh(keys)
+            value = _find(words if kind == _WORDS else runs, distinct)[place]
+            if kind == _WORDS:
+                out["n"] = np.bincount(row, minlength=b - a) + 1
+                out["known"] = np.bincount(row, value > 0, b - a).astype(np.int64) + end[1]
+                out["base"] = np.bincount(row, np.log10(value + 1) - scale, b - a) + end[0]
+            else:
+                out["score"] = np.bincount(row, value * count, b - a)
+        part = rows.slice(a, b - a)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(bounds)), *map(pa.array, (out["n"], out["known"], out["base"], out["score"]))], names=_SCORED_NAMES)
 
 
 def score(docs: DataFrame, model: Model, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -371,62 +394,132 @@ def score(docs: DataFrame, model: Model, broadcast_rows: int = BROADCAST_ROWS) -
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                data, offsets = text_bytes(rows.column("text"))
-                for a, b in _small_chunks(offsets):
-                    bounds = offsets[a : b + 1] - offsets[a]
-                    out = {}
-                    for kind, keys, row, count in _features(data[offsets[a] : offsets[b]], bounds):
-                        distinct, place = _fresh(keys)
-                        value = _find((words if kind == _WORDS else runs).value, distinct)[place]
-                        if kind == _WORDS:
-                            out["n"] = np.bincount(row, minlength=b - a) + 1
-                            out["known"] = np.bincount(row, value > 0, b - a).astype(np.int64) + end[1]
-                            out["base"] = np.bincount(row, np.log10(value + 1) - scale, b - a) + end[0]
-                        else:
-                            out["score"] = np.bincount(row, value * count, b - a)
-                    part = rows.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(bounds)), *map(pa.array, (out["n"], out["known"], out["base"], out["score"]))], names=["doc_id", "held_out", "bytes", "n_tokens", "n_known", "base_score", "score"])
-
-        scored = docs.mapInArrow(run, f"doc_id long, held_out boolean, bytes long, {_SCORED}")
+                yield from _scores(rows, words.value, runs.value, scale, end)
+
+        scored = docs.mapInArrow(run, _SCORED)
     else:
-        scored = _score_by_join(docs, model, scale, end)
+        scored = _score_in_blocks(docs, model, scale, end)
     return scored.withColumn("train_tokens", F.lit(model.train_tokens).cast("bigint")).withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / F.greatest(F.col("bytes"), F.lit(1)))
 
 
-def _score_by_join(docs: DataFrame, model: Model, scale: float, end: tuple[float, int]) -> DataFrame:
-    """The same sums where the tables are too large to broadcast: keys of documents meet the tables in a shuffled join."""
-    named = docs.withColumn("print", F.xxhash64("text"))
-    distinct = named.dropDuplicates(["doc_id", "print"])
+def _shrunk(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits, byte by byte of the numbers and compressed: near ones share their upper bytes."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _grown(packed: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 8 * n, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(kind)
+
+
+def _shrunk_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as steps from one to the next."""
+    return _shrunk(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _grown_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_grown(packed, np.uint64), dtype=np.uint64)
+
+
+def _dealt(kind: int, keys: np.ndarray, cells: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Cells and the places of their sorted ``keys``. Runs that agree in the four bytes before share a cell, so no cell is hot."""
+    cell = mix(keys if kind == _WORDS else keys >> np.uint64(8 * (DEPTH - 3))) % np.uint64(cells)
+    order = np.argsort(cell, kind="stable")
+    bounds = np.searchsorted(cell[order], np.arange(cells + 1, dtype=np.uint64))
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        yield i, order[bounds[i] : bounds[i + 1]]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            data, offsets = text_bytes(rows.column("text"))
-            for a, b in _small_chunks(offsets):
-                part = rows.slice(a, b - a)
-                for kind, keys, row, count in _features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("print").take(at), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], names=["doc_id", "print", "kind", "key", "n"])
 
-    features = distinct.select("doc_id", "print", "text").mapInArrow(spread, "doc_id long, print long, kind int, key long, n long")
+def _table_cells(kind: int, of: type, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed keys and values of a model's table, dealt by cell."""
 
-    def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(keys: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key)
+        key, value = key[order], value[order].astype(np.float64)
+        for i, at in _dealt(kind, key, cells):
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([i], pa.int32()), pa.array([_shrunk_keys(key[at])]), pa.array([_shrunk(value[at])])], names=["kind", "cell", "keys", "values"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, held = [], [], 0
+        for batch in batches:
+            for key, value in zip(batch.column(0), batch.column(1)):
+                keys.append(np.frombuffer(key.as_py(), np.uint64))
+                values.append(np.frombuffer(value.as_py(), of))
+                held += len(keys[-1])
+                if held > HELD_ENTRIES:
+                    yield from rows(keys, values)
+                    keys, values, held = [], [], 0
+        if keys:
+            yield from rows(keys, values)
+
+    return run
+
+
+def _answers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and values of packed rows."""
+    keys = np.concatenate([_grown_keys(x.as_py()) for x in rows["keys"]] or [np.zeros(0, np.uint64)])
+    values = np.concatenate([_grown(x.as_py(), np.float64) for x in rows["values"]] or [np.zeros(0)])
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _pieces(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows that a block's pieces hold."""
+    for piece in rows["piece"]:
+        yield from pa.ipc.open_stream(piece.as_buffer())
+
+
+def _score_in_blocks(docs: DataFrame, model: Model, scale: float, end: tuple[float, int]) -> DataFrame:
+    """The same sums where the tables are too large to broadcast: blocks of documents ask cells of the tables."""
+    weight = docs.agg(F.sum(F.octet_length("text").cast("bigint") + ROW_BYTES)).first()[0] or 0
+    blocks = max(1, -(-weight // BLOCK_BYTES))
+    cells = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seed = 0, TaskContext.get().partitionId() << 32
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for rows in batches:
-            values = [np.frombuffer(c.as_py(), np.int64).astype(np.float64).tobytes() for c in rows.column(1)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(values, pa.binary())], names=["keys", "values"])
-
-    words = model.packed.where(F.col("kind") == _WORDS).select("keys", "counts").mapInArrow(floats, "keys binary, values binary")
-    tables = words.mapInArrow(_lookup_rows, "key long, value double").select(F.lit(_WORDS).alias("kind"), "key", "value").unionByName(model.runs.mapInArrow(_lookup_rows, "key long, value double").select(F.lit(_RUNS).alias("kind"), "key", "value"))
-    value, word = F.coalesce("value", F.lit(0.0)), F.col("kind") == _WORDS
-    sums = features.join(tables, ["kind", "key"], "left").groupBy("doc_id", "print").agg(
-        F.sum(F.when(word, F.col("n"))).alias("n"), F.sum(F.when(word & (value > 0), F.col("n"))).alias("known"),
-        F.sum(F.when(word, F.col("n") * (F.log10(value + 1) - scale))).alias("base"), F.sum(F.when(~word, F.col("n") * value)).alias("sum"),
-    )
-    sums = sums.withColumnRenamed("doc_id", "id").withColumnRenamed("print", "mark")
-    met = named.join(sums, named["doc_id"].eqNullSafe(sums["id"]) & (named["print"] == sums["mark"]), "left")
-    return met.select(
-        "doc_id", "held_out", F.octet_length("text").cast("bigint").alias("bytes"), (F.coalesce("n", F.lit(0)) + 1).alias("n_tokens"), (F.coalesce("known", F.lit(0)) + end[1]).alias("n_known"),
-        (F.coalesce("base", F.lit(0.0)) + end[0]).alias("base_score"), F.coalesce("sum", F.lit(0.0)).alias("score"),
-    )
+            _, offsets = text_bytes(rows.column("text"))
+            for a, b in chunks(offsets + ROW_BYTES * np.arange(len(offsets)), CHUNK_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as stream:
+                    stream.write_batch(rows.slice(a, b - a))
+                block = int(mix(np.array([seed + number], np.uint64))[0] % np.uint64(blocks))
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "piece"])
+
+    def ask(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        held = {_WORDS: _Counter(), _RUNS: _Counter()}
+        for piece in _pieces(rows):
+            data, offsets = text_bytes(piece.column("text"))
+            for a, b in chunks(offsets, CHUNK_BYTES):
+                part, bounds = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
+                starts, ends, _ = word_bounds(part, bounds)
+                held[_WORDS].add(word_hashes(part, starts, ends), False)
+                held[_RUNS].add(byte_runs(part, bounds)[0], False)
+        asked = [(kind, i, _shrunk_keys(keys[at])) for kind, keys in ((k, c.total()[0]) for k, c in held.items()) for i, at in _dealt(kind, keys, cells)]
+        return pa.table([pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([x[0] for x in asked], pa.int32()), pa.array([x[1] for x in asked], pa.int32()), pa.array([x[2] for x in asked], pa.binary())], names=["block", "kind", "cell", "keys"])
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        held = _answers(table)
+        values = [_shrunk(_find(held, _grown_keys(x.as_py())).astype(np.float64)) for x in asked["keys"]]
+        return pa.table([asked["block"], asked["kind"], asked["keys"], pa.array(values, pa.binary())], names=["block", "kind", "keys", "values"])
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        words, runs = (_answers(answers.filter(pc.equal(answers["kind"], kind))) for kind in (_WORDS, _RUNS))
+        return pa.Table.from_batches([x for piece in _pieces(rows) for x in _scores(piece, words, runs, scale, end)])
+
+    # both uses of ``dealt`` read one exchange
+    dealt = docs.select("doc_id", "held_out", "text").mapInArrow(pack, "block long, piece binary").groupBy("block")
+    shape = "kind int, cell int, keys binary, values binary"
+    words = model.packed.where(F.col("kind") == _WORDS).select("keys", "counts").mapInArrow(_table_cells(_WORDS, np.int64, cells), shape)
+    runs = model.runs.mapInArrow(_table_cells(_RUNS, np.float64, cells), shape)
+    asked = dealt.applyInArrow(ask, "block long, kind int, cell int, keys binary").groupBy("kind", "cell")
+    answers = asked.cogroup(words.unionByName(runs).groupBy("kind", "cell")).applyInArrow(answer, "block long, kind int, keys binary, values binary")
+    return dealt.cogroup(answers.groupBy("block")).applyInArrow(finish, _SCORED)
 
 
 def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
