@@ -19,6 +19,8 @@ DEFAULTS = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # plans print their partition filters whole, however long the attribute ids have grown
+    "spark.sql.maxMetadataStringLength": "2000",
 }
 
 
