@@ -40,7 +40,7 @@ DEPTH = 5
 HELD_OUT = (7, 2)
 #: Rows of a lookup table that are broadcast at most: 16 bytes each.
 BROADCAST_ROWS = 8_000_000
-#: Entries that a task holds before it merges them, or twice what the last merge left.
+#: Entries that a task holds before it merges them.
 HELD_ENTRIES = 1_500_000
 #: Bytes of text, with ``ROW_BYTES`` for each row, that share one look-up where the table is not broadcast.
 BLOCK_BYTES = 64 << 20
@@ -77,20 +77,20 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 class _Counter:
     def __init__(self):
-        self.keys, self.counts, self.held, self.most = [], [], 0, HELD_ENTRIES
+        self.keys, self.counts, self.held = [], [], 0
 
     def add(self, keys: np.ndarray, counted: bool) -> None:
         key, count = np.unique(keys, return_counts=True)
         self.keys.append(key)
         self.counts.append(count if counted else np.zeros(len(key), np.int64))
         self.held += len(key)
-        if self.held > self.most:
+        if self.held > HELD_ENTRIES:
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if self.keys:
             key, count = _merge(self.keys, self.counts)
-            self.keys, self.counts, self.held, self.most = [key], [count], 0, max(HELD_ENTRIES, 2 * len(key))
+            self.keys, self.counts, self.held = [key], [count], 0
             return key, count
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -423,6 +423,27 @@ def _grown_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(_grown(packed, np.uint64), dtype=np.uint64)
 
 
+class _Distinct:
+    """Distinct keys, merged when half as many again are held as the last merge left."""
+
+    def __init__(self):
+        self.keys, self.held, self.most = [], 0, HELD_ENTRIES
+
+    def add(self, keys: np.ndarray) -> None:
+        self.keys.append(np.unique(keys))
+        self.held += len(self.keys[-1])
+        if self.held > self.most:
+            self.total()
+
+    def total(self) -> np.ndarray:
+        key = np.concatenate(self.keys or [np.zeros(0, np.uint64)])
+        self.keys = []
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        self.keys, self.held, self.most = [key], len(key), max(HELD_ENTRIES, len(key) * 3 // 2)
+        return key
+
+
 def _dealt(kind: int, keys: np.ndarray, cells: int) -> Iterator[tuple[int, np.ndarray]]:
     """Cells and the places of their sorted ``keys``. Runs that agree in the four bytes before share a cell, so no cell is hot."""
     cell = mix(keys if kind == _WORDS else keys >> np.uint64(8 * (DEPTH - 3))) % np.uint64(cells)
@@ -492,15 +513,15 @@ def _score_in_blocks(docs: DataFrame, model: Model, scale: float, end: tuple[flo
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "piece"])
 
     def ask(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        held = {_WORDS: _Counter(), _RUNS: _Counter()}
+        held = {_WORDS: _Distinct(), _RUNS: _Distinct()}
         for piece in _pieces(rows):
             data, offsets = text_bytes(piece.column("text"))
             for a, b in chunks(offsets, CHUNK_BYTES):
                 part, bounds = lower_ascii(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
                 starts, ends, _ = word_bounds(part, bounds)
-                held[_WORDS].add(word_hashes(part, starts, ends), False)
-                held[_RUNS].add(byte_runs(part, bounds)[0], False)
-        asked = [(kind, i, _shrunk_keys(keys[at])) for kind, keys in ((k, c.total()[0]) for k, c in held.items()) for i, at in _dealt(kind, keys, cells)]
+                held[_WORDS].add(word_hashes(part, starts, ends))
+                held[_RUNS].add(byte_runs(part, bounds)[0])
+        asked = [(kind, i, _shrunk_keys(keys[at])) for kind, keys in ((k, c.total()) for k, c in held.items()) for i, at in _dealt(kind, keys, cells)]
         return pa.table([pa.array([key[0].as_py()] * len(asked), pa.int64()), pa.array([x[0] for x in asked], pa.int32()), pa.array([x[1] for x in asked], pa.int32()), pa.array([x[2] for x in asked], pa.binary())], names=["block", "kind", "cell", "keys"])
 
     def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
